@@ -3,11 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from nearfield.llm.leakage import find_leaks, without_leaks
 from nearfield.llm.residue import find_residue
 from nearfield.plans.tables import table
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the items whose passage, or 12 consecutive words of it, they hold."""
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every maximal match with its place and length in words."""
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items: in how many documents, and the longest match."""
+    found = find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("n_words").alias("longest"))
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that remain when those with leaks are removed."""
+    return without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "lang", "source")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold template residue, filler, an error page or a script notice instead of content."""
     return find_residue(table(spark, d, "documents")).select("doc_id").distinct()
@@ -18,5 +41,5 @@ def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
     return find_residue(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_kinds)}
+QUERIES = {f.__name__: f for f in (p7_found, p7_matches, p7_items, p7_clean, p8_found, p8_kinds)}
 ORACLES: dict[str, str] = {}
