@@ -5,10 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.llm.forest import similar_vectors
 from nearfield.llm.leakage import find_leaks, without_leaks
 from nearfield.llm.residue import find_residue
+from nearfield.operators.points import current_usable
 from nearfield.plans.tables import table
 
+DIM = 64
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    return current_usable(table(spark, d, "points"), DIM)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 points nearest to each probe, as pairs with the smaller id first."""
+    probes = table(spark, d, "probes").select("label").distinct()
+    queries = current_usable(table(spark, d, "points").join(probes, "label", "left_semi"), DIM)
+    near = similar_vectors(_points(spark, d), queries, 10, DIM)
+    return near.select(F.least("query_id", "id").alias("id_a"), F.greatest("query_id", "id").alias("id_b")).distinct()
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 points nearest to every point whose id is divisible by 20, against all points, with distances."""
+    queries = current_usable(table(spark, d, "points").where("id % 20 = 0"), DIM)
+    return similar_vectors(_points(spark, d), queries, 10, DIM)
+
+
+def p3_all(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 points nearest to every point."""
+    return similar_vectors(_points(spark, d), _points(spark, d), 10, DIM)
+
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the items whose passage, or 12 consecutive words of it, they hold."""
@@ -41,5 +68,9 @@ def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
     return find_residue(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_matches, p7_items, p7_clean, p8_found, p8_kinds)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_neighbours, p3_all, p7_found, p7_matches, p7_items, p7_clean, p8_found, p8_kinds)}
+
+_USABLE = """cur AS (SELECT id, data FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY seq DESC) AS rn FROM points) WHERE rn = 1 AND len(data) = 64
+  AND len(list_filter(data, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(data, lambda x: x <> 0)) > 0)"""
+
 ORACLES: dict[str, str] = {}
