@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.forest import similar_vectors
 from nearfield.llm.leakage import find_leaks, without_leaks
+from nearfield.llm.packing import CAPACITY, container_fill, pack_documents
 from nearfield.llm.residue import find_residue
 from nearfield.operators.points import current_usable
 from nearfield.plans.tables import table
@@ -37,6 +38,23 @@ def p3_all(spark: SparkSession, d: str) -> DataFrame:
     return similar_vectors(_points(spark, d), _points(spark, d), 10, DIM)
 
 
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every text or piece of a text."""
+    return pack_documents(table(spark, d, "documents"))
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """How full each container is."""
+    return container_fill(pack_documents(table(spark, d, "documents")))
+
+
+def p6_waste(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used, the least number possible, and the share of room unused."""
+    fill = container_fill(pack_documents(table(spark, d, "documents")))
+    total = fill.agg(F.count("*").alias("containers"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    return total.withColumn("least", F.ceil(F.col("tokens") / CAPACITY)).withColumn("unused_share", F.when(F.col("containers") > 0, 1 - F.col("tokens") / (F.col("containers") * CAPACITY)))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the items whose passage, or 12 consecutive words of it, they hold."""
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
@@ -68,7 +86,7 @@ def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
     return find_residue(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_neighbours, p3_all, p7_found, p7_matches, p7_items, p7_clean, p8_found, p8_kinds)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_neighbours, p3_all, p6_packing, p6_containers, p6_waste, p7_found, p7_matches, p7_items, p7_clean, p8_found, p8_kinds)}
 
 _USABLE = """cur AS (SELECT id, data FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY seq DESC) AS rn FROM points) WHERE rn = 1 AND len(data) = 64
   AND len(list_filter(data, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(data, lambda x: x <> 0)) > 0)"""
