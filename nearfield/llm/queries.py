@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nearfield.llm.forest import similar_vectors
 from nearfield.llm.leakage import find_leaks, without_leaks
 from nearfield.llm.packing import CAPACITY, container_fill, pack_documents
+from nearfield.llm.peaks import CELL_ROWS, density_peaks, describe_groups, large_groups
 from nearfield.llm.residue import find_residue
 from nearfield.operators.points import current_usable
 from nearfield.plans.tables import table
@@ -19,6 +20,30 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
     return current_usable(table(spark, d, "points"), DIM)
 
 
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    """Density peaks over current usable points. Pivots come from a share of the labels, all versions of which are read, so they are current too."""
+    raw = table(spark, d, "points")
+    n = raw.count()
+    share = max(1, CELL_ROWS // 16)  # 16 times as many points as pivots are wanted
+    some = current_usable(raw.where(F.pmod(F.xxhash64("label"), F.lit(share)) == 0), DIM) if n > 4 * CELL_ROWS else None
+    return density_peaks(current_usable(raw, DIM), DIM, pivot_points=some, n=n)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Members of groups of at least 6 points; a group is named by its least id."""
+    return large_groups(_groups(spark, d)).select("id", "group_id")
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups with their size and most typical members."""
+    return describe_groups(_groups(spark, d))
+
+
+def p1_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every point with its group, peak, density and distance to the nearest denser neighbour."""
+    return _groups(spark, d)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The 10 points nearest to each probe, as pairs with the smaller id first."""
     probes = table(spark, d, "probes").select("label").distinct()
@@ -86,7 +111,7 @@ def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
     return find_residue(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_neighbours, p3_all, p6_packing, p6_containers, p6_waste, p7_found, p7_matches, p7_items, p7_clean, p8_found, p8_kinds)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p1_members, p3_found, p3_neighbours, p3_all, p6_packing, p6_containers, p6_waste, p7_found, p7_matches, p7_items, p7_clean, p8_found, p8_kinds)}
 
 _USABLE = """cur AS (SELECT id, data FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY seq DESC) AS rn FROM points) WHERE rn = 1 AND len(data) = 64
   AND len(list_filter(data, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(data, lambda x: x <> 0)) > 0)"""
