@@ -10,6 +10,7 @@ from nearfield.llm.leakage import find_leaks, without_leaks
 from nearfield.llm.packing import CAPACITY, container_fill, pack_documents
 from nearfield.llm.peaks import CELL_ROWS, density_peaks, describe_groups, large_groups
 from nearfield.llm.residue import find_residue
+from nearfield.llm.subset import represented, varied_subset
 from nearfield.operators.points import current_usable
 from nearfield.plans.tables import table
 
@@ -63,6 +64,18 @@ def p3_all(spark: SparkSession, d: str) -> DataFrame:
     return similar_vectors(_points(spark, d), _points(spark, d), 10, DIM)
 
 
+def p5_subset(spark: SparkSession, d: str) -> DataFrame:
+    """256 points that cover the variety of all current usable points."""
+    return varied_subset(_points(spark, d), DIM)
+
+
+def p5_represented(spark: SparkSession, d: str) -> DataFrame:
+    """For each member of the subset, how many points are nearest to it, and how far they are."""
+    points = _points(spark, d)
+    per = represented(points, varied_subset(points, DIM), DIM)
+    return per.groupBy("member").agg(F.count("*").alias("n_points"), F.avg("distance").alias("mean_distance"), F.max("distance").alias("max_distance"))
+
+
 def p6_packing(spark: SparkSession, d: str) -> DataFrame:
     """The container of every text or piece of a text."""
     return pack_documents(table(spark, d, "documents"))
@@ -111,7 +124,7 @@ def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
     return find_residue(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p1_members, p3_found, p3_neighbours, p3_all, p6_packing, p6_containers, p6_waste, p7_found, p7_matches, p7_items, p7_clean, p8_found, p8_kinds)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p1_members, p3_found, p3_neighbours, p3_all, p5_subset, p5_represented, p6_packing, p6_containers, p6_waste, p7_found, p7_matches, p7_items, p7_clean, p8_found, p8_kinds)}
 
 _USABLE = """cur AS (SELECT id, data FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY seq DESC) AS rn FROM points) WHERE rn = 1 AND len(data) = 64
   AND len(list_filter(data, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(data, lambda x: x <> 0)) > 0)"""
