@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 TINY = 1e-30
 
@@ -54,3 +55,33 @@ def rowwise(name: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
         return 1.0 - g
     d = np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1))
     return np.where(d < TINY, 1.0, 1.0 - g / np.where(d < TINY, 1.0, d))
+
+
+def usable_rows(column: pa.ChunkedArray | pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mask of usable rows of an Arrow list column, matrix of those rows): dim elements, none null, NaN or infinite, not all zero."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    good = pc.list_value_length(column).fill_null(-1).to_numpy(zero_copy_only=False) == dim
+    x = column.filter(pa.array(good)).flatten().cast(pa.float32()).fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(-1, dim)
+    fine = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+    good[np.nonzero(good)[0][~fine]] = False
+    return good, x[fine]
+
+
+def pack(x: np.ndarray) -> list[bytes]:
+    """Rows of single precision as bytes: half precision where that loses nothing, else single."""
+    with np.errstate(over="ignore"):
+        half = x.astype(np.float16)
+    small = (half.astype(np.float32) == x).all(axis=1)
+    return [half[i].tobytes() if small[i] else x[i].tobytes() for i in range(len(x))]
+
+
+def unpack(rows: list[bytes], dim: int, dtype=np.float64) -> np.ndarray:
+    """The matrix of rows packed by pack."""
+    out = np.empty((len(rows), dim), dtype)
+    small = np.array([len(v) == 2 * dim for v in rows], bool)
+    for mask, kind in ((small, np.float16), (~small, np.float32)):
+        at = np.nonzero(mask)[0]
+        if len(at):
+            out[at] = np.frombuffer(b"".join([rows[i] for i in at]), kind).reshape(-1, dim)
+    return out

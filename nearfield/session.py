@@ -22,7 +22,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: it cuts lineage, and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{work_root(spark)}/nearfield/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
