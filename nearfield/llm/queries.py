@@ -11,7 +11,7 @@ from nearfield.llm.packing import CAPACITY, container_fill, pack_documents
 from nearfield.llm.peaks import CELL_ROWS, density_peaks, describe_groups, large_groups
 from nearfield.llm.residue import find_residue
 from nearfield.llm.subset import represented, varied_subset
-from nearfield.operators.points import current_usable
+from nearfield.operators.points import current_packed, current_usable
 from nearfield.plans.tables import table
 
 DIM = 64
@@ -26,8 +26,8 @@ def _groups(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "points")
     n = raw.count()
     share = max(1, CELL_ROWS // 16)  # 16 times as many points as pivots are wanted
-    some = current_usable(raw.where(F.pmod(F.xxhash64("label"), F.lit(share)) == 0), DIM) if n > 4 * CELL_ROWS else None
-    return density_peaks(current_usable(raw, DIM), DIM, pivot_points=some, n=n)
+    some = current_packed(raw.where(F.pmod(F.xxhash64("label"), F.lit(share)) == 0), DIM) if n > 4 * CELL_ROWS else None
+    return density_peaks(current_packed(raw, DIM), DIM, pivot_points=some, n=n)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
