@@ -86,7 +86,7 @@ def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     if not offsets:
         return df.withColumn(name, F.lit(0).cast("long"))
     table = spark.createDataFrame([(k, v) for k, v in offsets.items()], "_p int, _o long")
-    return ranged.withColumn("_n", F.row_number().over(inside)).join(F.broadcast(table), "_p").withColumn(name, F.col("_n") + F.col("_o") - 1).drop("_p", "_n", "_o")
+    return ranged.withColumn("_r", F.row_number().over(inside)).join(F.broadcast(table), "_p").withColumn(name, F.col("_r") + F.col("_o") - 1).drop("_p", "_r", "_o")
 
 
 def allocate_ids(new: DataFrame, free: DataFrame, next_id: int, key: str = "label") -> DataFrame:
