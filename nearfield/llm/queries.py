@@ -56,12 +56,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The 10 points nearest to every point whose id is divisible by 20, against all points, with distances."""
     queries = current_usable(table(spark, d, "points").where("id % 20 = 0"), DIM)
-    return similar_vectors(_points(spark, d), queries, 10, DIM)
-
-
-def p3_all(spark: SparkSession, d: str) -> DataFrame:
-    """The 10 points nearest to every point."""
-    return similar_vectors(_points(spark, d), _points(spark, d), 10, DIM)
+    near = similar_vectors(_points(spark, d), queries, 10, DIM)
+    return near.select("query_id", "id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
 def p5_subset(spark: SparkSession, d: str) -> DataFrame:
@@ -124,9 +120,19 @@ def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
     return find_residue(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p1_members, p3_found, p3_neighbours, p3_all, p5_subset, p5_represented, p6_packing, p6_containers, p6_waste, p7_found, p7_matches, p7_items, p7_clean, p8_found, p8_kinds)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p1_members, p3_found, p3_neighbours, p5_subset, p5_represented, p6_packing, p6_containers, p6_waste, p7_found, p7_matches, p7_items, p7_clean, p8_found, p8_kinds)}
 
-_USABLE = """cur AS (SELECT id, data FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY seq DESC) AS rn FROM points) WHERE rn = 1 AND len(data) = 64
+_USABLE = """cur AS (SELECT id::BIGINT AS id, data FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY seq DESC) AS rn FROM points) WHERE rn = 1 AND len(data) = 64
   AND len(list_filter(data, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(data, lambda x: x <> 0)) > 0)"""
-
-ORACLES: dict[str, str] = {}
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
+_NEAR = f"""n AS (SELECT id, data, sqrt({_DOT.format(a="data", b="data")}) AS l FROM cur),
+r AS (SELECT q.id AS query_id, p.id AS id, 1 - {_DOT.format(a="q.data", b="p.data")} / (q.l * p.l) AS distance FROM n p JOIN n q ON p.id <> q.id WHERE {{queries}}),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM r)"""
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"""WITH RECURSIVE {_USABLE}, link AS (SELECT a.id AS a, b.id AS b FROM cur a JOIN cur b ON a.id <> b.id AND list_cosine_distance(a.data::DOUBLE[], b.data::DOUBLE[]) <= 0.05),
+reach AS (SELECT DISTINCT a AS id, a AS root FROM link UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.id),
+g AS (SELECT id, min(root) AS group_id FROM reach GROUP BY 1) SELECT id, group_id FROM g WHERE group_id IN (SELECT group_id FROM g GROUP BY 1 HAVING count(*) >= 6)""",
+    "p3_found": f"WITH {_USABLE}, {_NEAR.format(queries='q.id IN (SELECT id FROM probes)')} SELECT DISTINCT least(query_id, id) AS id_a, greatest(query_id, id) AS id_b FROM k WHERE rank <= 10",
+    "p3_neighbours": f"WITH {_USABLE}, {_NEAR.format(queries='q.id % 20 = 0')} SELECT query_id, id, round(distance, 6) + 0.0 AS distance, rank FROM k WHERE rank <= 10",
+}
