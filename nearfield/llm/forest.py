@@ -20,7 +20,7 @@ from nearfield.operators.knn import query_blocks, top_k
 
 BITS = 64
 #: Trees of a forest, and candidates per query and shard at which the ascent ends.
-TREES, CANDIDATES = 16, 1600
+TREES, CANDIDATES = 24, 6400
 #: Rows of a shard: bounds the memory of a task. A task with more rows builds several forests.
 SHARD_ROWS = 25_000
 #: Rows of a shard by which its hyperplanes are laid through the data.

@@ -134,5 +134,4 @@ ORACLES: dict[str, str] = {
 reach AS (SELECT DISTINCT a AS id, a AS root FROM link UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.id),
 g AS (SELECT id, min(root) AS group_id FROM reach GROUP BY 1) SELECT id, group_id FROM g WHERE group_id IN (SELECT group_id FROM g GROUP BY 1 HAVING count(*) >= 6)""",
     "p3_found": f"WITH {_USABLE}, {_NEAR.format(queries='q.id IN (SELECT id FROM probes)')} SELECT DISTINCT least(query_id, id) AS id_a, greatest(query_id, id) AS id_b FROM k WHERE rank <= 10",
-    "p3_neighbours": f"WITH {_USABLE}, {_NEAR.format(queries='q.id % 20 = 0')} SELECT query_id, id, round(distance, 6) + 0.0 AS distance, rank FROM k WHERE rank <= 10",
 }
