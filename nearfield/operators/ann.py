@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import kernels
 from nearfield.operators import hnsw
-from nearfield.operators.knn import query_blocks, top_k
+from nearfield.operators.knn import FOUND, by_blocks
 
 NODES = "shard int, id long, label string, data array<float>, out_edges array<array<long>>, in_edges array<array<long>>"
 #: Points of one shard, about: bounds the memory and time of a task.
@@ -41,18 +41,9 @@ def _graph(t: pa.Table, dim: int, metric: str, max_edges: int) -> hnsw.ShardGrap
 def search_graph(nodes: DataFrame, queries: DataFrame, k: int, dim: int, metric: str = "cosine", max_edges: int = 16, min_nn: int = 5, layer: int = 0, drop_self: bool = False, where: Column | None = None) -> DataFrame:
     """query_id, id, distance, rank by beam search in every shard. Where a shard returns too few rows that pass the filter, it is searched exactly, so a
     selective filter loses nothing."""
-    schema = "query_id long, id long, distance double"
-    parts = []
     src = nodes.withColumn("_ok", F.coalesce(where, F.lit(False)) if where is not None else F.lit(True))
-    for qid, q in query_blocks(queries, dim) if k > 0 else ():
-        sent = nodes.sparkSession.sparkContext.broadcast((qid, q))
-        parts.append(src.groupBy("shard").applyInArrow(_searcher(sent, k, dim, metric, max_edges, min_nn, layer, drop_self), schema))
-    if not parts:
-        return nodes.sparkSession.createDataFrame([], schema + ", rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return top_k(out, k)
+    scan = lambda sent: _searcher(sent, k, dim, metric, max_edges, min_nn, layer, drop_self)
+    return by_blocks(src, queries, k, dim, scan, lambda df, f: df.groupBy("shard").applyInArrow(f, FOUND))
 
 
 def _searcher(sent, k: int, dim: int, metric: str, max_edges: int, min_nn: int, layer: int, drop_self: bool):

@@ -94,4 +94,5 @@ def changed_nodes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: how many rows only a has and how many only b has, counting repeats."""
-    return a.exceptAll(b).agg(F.count("*").alias("only_first")).crossJoin(b.exceptAll(a).agg(F.count("*").alias("only_second")))  # one row by one row
+    only = a.exceptAll(b).select(F.lit(1).alias("f"), F.lit(0).alias("s")).unionAll(b.exceptAll(a).select(F.lit(0), F.lit(1)))
+    return only.agg(F.coalesce(F.sum("f"), F.lit(0)).cast("long").alias("only_first"), F.coalesce(F.sum("s"), F.lit(0)).cast("long").alias("only_second"))

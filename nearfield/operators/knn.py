@@ -7,19 +7,23 @@ before the one shuffle, which carries ids and distances and never vectors.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearfield.functions import kernels
+from nearfield.functions.vectors import TINY, dot, magnitude
 from nearfield.functions.vectors import metric as metric_of
+from nearfield.session import materialize
 
 #: Query vectors sent to the executors at once; the bound of what is broadcast.
-QUERY_BLOCK = 20_000
+QUERY_BLOCK, PLAN_BLOCK = 20_000, 1_000
+FOUND = "query_id long, id long, distance double"
 
 
 def knn_vector(points: DataFrame, vector: list[float], k: int, metric="cosine", where: Column | None = None) -> DataFrame:
@@ -34,39 +38,72 @@ def knn_vector(points: DataFrame, vector: list[float], k: int, metric="cosine",
 
 
 def knn_plan(points: DataFrame, queries: DataFrame, k: int, metric="cosine", where: Column | None = None, drop_self: bool = False) -> DataFrame:
-    """query_id, id, distance, rank for a handful of queries, as one Catalyst plan for any metric.
+    """query_id, id, distance, rank for a stated, small set of queries, as Catalyst plans for any metric.
 
-    queries (id, data) is a stated, small set; Spark joins it by nested loop with the points and cuts to k per query
-    in each task (WindowGroupLimit) before the shuffle. For many queries use knn.
+    Each block of at most about PLAN_BLOCK queries is sent to all tasks and joined with the points where they lie; a task keeps k per query
+    (WindowGroupLimit) before the shuffle. Rows whose distance is null or NaN never appear. For many queries use knn.
     """
     src = points if where is None else points.where(where)
-    q = queries.select(F.col("id").alias("query_id"), F.col("data").alias("_q"))
-    pairs = src.select("id", "data").crossJoin(q)
-    if drop_self:
-        pairs = pairs.where(F.col("id") != F.col("query_id"))
-    d = pairs.select("query_id", "id", metric_of(metric)(F.col("data"), F.col("_q")).alias("distance")).where(F.col("distance").isNotNull() & ~F.isnan("distance"))
-    return top_k(d, k)
+    src, q = src.select("id", "data"), queries.select(F.col("id").alias("query_id"), F.col("data").alias("_q"))
+    blocks = max(1, -(-q.count() // PLAN_BLOCK))
+    if metric == "cosine":  # lengths once per row, not once per pair
+        src, q = src.withColumn("_l", magnitude(F.col("data"))), q.withColumn("_m", magnitude(F.col("_q")))
+        product = F.col("_l") * F.col("_m")
+        distance = F.when(product < TINY, F.lit(1.0)).otherwise(1.0 - dot(F.col("data"), F.col("_q")) / product)
+    else:
+        distance = metric_of(metric)(F.col("data"), F.col("_q"))
+    out = None
+    for i in range(blocks):
+        block = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        pairs = src.crossJoin(F.broadcast(block))
+        if drop_self:
+            pairs = pairs.where(F.col("id") != F.col("query_id"))
+        found = top_k(pairs.select("query_id", "id", distance.alias("distance")), k)
+        out = found if out is None else out.unionAll(found)
+    return out
 
 
 def top_k(distances: DataFrame, k: int) -> DataFrame:
-    """Best k rows per query_id by (distance, id), with rank from 1."""
-    w = W.partitionBy("query_id").orderBy("distance", "id")
-    return distances.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(0, k))
+    """Best k rows per query_id by (distance, id), with rank from 1. Null and NaN distances come last and are dropped."""
+    w = W.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "id")
+    best = distances.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(0, k))
+    return best.where(F.col("distance").isNotNull() & ~F.isnan("distance"))
 
 
-def query_blocks(queries: DataFrame, dim: int, size: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of the queries in blocks of at most about size rows; only one block is on the driver at a time."""
+def query_blocks(queries: DataFrame, dim: int, size: int = QUERY_BLOCK) -> tuple[int, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """How many blocks the queries make, and (ids, vectors) of each, at most about size rows; one block at a time is on the driver."""
     q = queries.select(F.col("id").cast("long").alias("id"), "data").where(F.col("id").isNotNull() & (F.size("data") == dim) & ~F.exists("data", lambda e: e.isNull()))
     n = q.count()
-    if n <= size:
-        parts = [q]
-    else:
-        m = -(-n * 5 // (size * 4))
-        parts = [q.where(F.pmod(F.xxhash64("id"), F.lit(m)) == i) for i in range(m)]
-    for part in parts:
-        t = part.toArrow()
-        if t.num_rows:
-            yield t["id"].to_numpy(), kernels.matrix(t["data"], dim, np.float64)
+    m = 1 if n <= size else -(-n * 5 // (size * 4))
+    q = materialize(q, "queries") if m > 1 else q
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(m if n else 0):
+            t = (q if m == 1 else q.where(F.pmod(F.xxhash64("id"), F.lit(m)) == i)).toArrow()
+            if t.num_rows:
+                yield t["id"].to_numpy(), kernels.matrix(t["data"], dim, np.float64)
+
+    return m, blocks()
+
+
+def by_blocks(src: DataFrame, queries: DataFrame, k: int, dim: int, scan: Callable[[Broadcast], Callable], apply: Callable[[DataFrame, Callable], DataFrame]) -> DataFrame:
+    """The best k per query of what scan finds in src, block of queries by block.
+
+    A query is in one block, so blocks are finished separately: with several, src is written once and read per block, each block's result is
+    written, and its broadcast is released, so that neither the driver's memory nor the plan grows with the queries.
+    """
+    spark = src.sparkSession
+    m, blocks = query_blocks(queries, dim) if k > 0 else (0, iter(()))
+    src = materialize(src, "searched") if m > 1 else src
+    out = None
+    for block in blocks:
+        sent = spark.sparkContext.broadcast(block)
+        found = top_k(apply(src, scan(sent)), k)
+        if m > 1:
+            found = materialize(found, "found")
+            sent.destroy()
+        out = found if out is None else out.unionAll(found)
+    return out if out is not None else spark.createDataFrame([], "query_id long, id long, distance double, rank int")
 
 
 def best(ids: np.ndarray, dist: np.ndarray, k: int) -> np.ndarray:
@@ -106,24 +143,17 @@ def knn(points: DataFrame, queries: DataFrame, k: int, dim: int, metric: str = "
     points and queries have id and data; rows with a null id, a null element or another length than dim take no part.
     Repeated rows count as often as they stand. Empty tables and k <= 0 give no rows.
     """
-    spark, schema = points.sparkSession, "query_id long, id long, distance double"
     src = points if where is None else points.where(where)
     src = src.select(F.col("id").cast("long").alias("id"), "data").where(F.col("id").isNotNull() & (F.size("data") == dim) & ~F.exists("data", lambda e: e.isNull()))
-    parts = []
-    for qid, q in query_blocks(queries, dim) if k > 0 else ():
-        sent = spark.sparkContext.broadcast((qid, q))
 
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def scan(sent: Broadcast) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qid, q = sent.value
             for b in batches:
                 if b.num_rows:
                     got = exact_block(qid, q, b.column(0).to_numpy(zero_copy_only=False), kernels.matrix(b.column(1), dim, np.float64), k, metric, drop_self)
                     yield pa.RecordBatch.from_arrays([pa.array(a) for a in got], ["query_id", "id", "distance"])
 
-        parts.append(src.mapInArrow(scan, schema))
-    if not parts:
-        return spark.createDataFrame([], schema + ", rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return top_k(out, k)
+        return run
+
+    return by_blocks(src, queries, k, dim, scan, lambda df, f: df.mapInArrow(f, FOUND))

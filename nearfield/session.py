@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: dict[str, SparkSession] = {}
+
 
 def work_root(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
@@ -19,22 +22,39 @@ def work_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: it cuts lineage, and survives the loss of executors."""
+    """Write df once to the shared folder and read it back: it cuts lineage, and survives the loss of executors.
+
+    The files go when release is called, or when the program ends.
+    """
     spark = df.sparkSession
     path = f"{work_root(spark)}/nearfield/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_clean)
+    _written[path] = spark
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
 def release(df: DataFrame) -> None:
-    """Delete the files behind a materialised DataFrame that no later step reads."""
-    spark = df.sparkSession
-    for f in df.inputFiles()[:1]:
-        folder = f.rsplit("/", 1)[0]
-        if "/nearfield/" not in folder:
-            raise ValueError(f"not a materialised table: {folder}")
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the files behind a materialised DataFrame that nothing reads any more."""
+    path = getattr(df, "_written_to", None)
+    if path in _written:
+        _delete(_written.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _clean() -> None:
+    for path, spark in list(_written.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has ended: nothing more can be done from here
+            return
 
 
 def parallelism(spark: SparkSession) -> int:

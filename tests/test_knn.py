@@ -36,8 +36,12 @@ def test_blocked_and_planned_forms_agree_with_brute_force(spark, vectors):
 
 def test_query_blocks_cover_all_queries(spark, vectors, monkeypatch):
     p = frame(spark, vectors)
-    seen = [i for ids, _ in K.query_blocks(p, DIM, size=40) for i in ids.tolist()]
-    assert sorted(seen) == list(range(300))
+    m, blocks = K.query_blocks(p, DIM, size=40)
+    assert m == 10 and sorted(i for ids, _ in blocks for i in ids.tolist()) == list(range(300))
+    want = sorted(map(tuple, K.knn(p, p, 3, DIM).collect()))
+    small = K.query_blocks
+    monkeypatch.setattr(K, "query_blocks", lambda q, d: small(q, d, size=100))
+    assert sorted(map(tuple, K.knn(p, p, 3, DIM).collect())) == want
 
 
 def test_ties_repeats_and_bad_rows(spark):
