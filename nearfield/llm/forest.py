@@ -107,10 +107,10 @@ def similar_vectors(points: DataFrame, queries: DataFrame, k: int, dim: int, tre
 
     points and queries have id and data, all vectors usable (see points.current_usable): dim elements, finite, not all zero. Every point
     is indexed; recall against brute force is measured in the tests and the README. A point is no neighbour of the query
-    with its own id if drop_self. With k or fewer points in all, all are returned. Empty tables give no rows; extra columns don't matter.
+    with its own id if drop_self. With k or fewer points in all, all are returned. Empty tables give no rows, rows with a null id take no part, extra columns don't matter.
     Queries go out in blocks (knn.QUERY_BLOCK); points are read where they lie, and only ids and distances are shuffled.
     """
-    src = points.select(F.col("id").cast("long").alias("id"), F.col("data").cast("array<float>").alias("data"))
+    src = points.where("id is not null").select(F.col("id").cast("long").alias("id"), F.col("data").cast("array<float>").alias("data"))
 
     def scan(sent: Broadcast) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

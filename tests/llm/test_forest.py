@@ -89,3 +89,8 @@ def test_several_shards_merge(spark, monkeypatch):
     near = {(r["query_id"], r["id"]) for r in Fo.similar_vectors(p, q, 5, 16).collect()}
     exact = {(r["query_id"], r["id"]) for r in K.knn(p, q, 5, 16, drop_self=True).collect()}
     assert near == exact  # shards smaller than the candidates are searched whole
+
+
+def test_null_ids_take_no_part(spark):
+    p = spark.createDataFrame([(None, [1.0, 0.0], None), (1, [1.0, 0.0], None), (2, [0.0, 1.0], None)], "id long, data array<float>, distance string")
+    assert {(r["query_id"], r["id"]) for r in Fo.similar_vectors(p, p, 5, 2).collect()} == {(1, 2), (2, 1)}
