@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,24 +84,22 @@ def unusable_reason(data: Column, dim: int, zero_ok: bool = False) -> Column:
     return r if zero_ok else r.when(F.forall(data, lambda e: e == 0), "zero")
 
 
-def register(spark: SparkSession) -> None:
-    """Make the functions callable from SQL as vec_cosine(a, b), vec_magnitude(a) and so on."""
-    import numpy as np
-
-    from nearfield.functions import kernels
-
-    def pairwise(fn):
-        def run(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([None if x is None or y is None or len(x) != len(y) else fn(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(a, b)], dtype="float64")
-
-        return F.pandas_udf(run, "double")
+#: Bodies of the SQL functions; $T is the element type. The same sums as above, in the same order.
+_SQL = {
+    "vec_dot": "aggregate(zip_with(a, b, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0D, (s, x) -> s + x)",
+    "vec_sqeuclidean": "aggregate(zip_with(a, b, (x, y) -> (CAST(x AS DOUBLE) - CAST(y AS DOUBLE)) * (CAST(x AS DOUBLE) - CAST(y AS DOUBLE))), 0D, (s, x) -> s + x)",
+    "vec_euclidean": "sqrt(vec_sqeuclidean(a, b))",
+    "vec_unit_cosine": "1 - vec_dot(a, b)",
+    "vec_cosine": f"CASE WHEN sqrt(vec_dot(a, a)) * sqrt(vec_dot(b, b)) < {TINY} THEN 1D ELSE 1 - vec_dot(a, b) / (sqrt(vec_dot(a, a)) * sqrt(vec_dot(b, b))) END",
+}
 
-    for name in METRICS:
-        spark.udf.register(f"vec_{name}", pairwise(kernels.SCALAR[name]))
-    spark.udf.register("vec_magnitude", F.pandas_udf(_magnitudes, "double"))
 
-
-def _magnitudes(a: pd.Series) -> pd.Series:
-    import numpy as np
-
-    return pd.Series([None if x is None else float(np.sqrt((np.asarray(x, float) ** 2).sum())) for x in a], dtype="float64")
+def register(spark: SparkSession) -> None:
+    """Make vec_dot, vec_cosine, vec_unit_cosine, vec_sqeuclidean, vec_euclidean (a, b), vec_magnitude and vec_normalize (a) callable from SQL.
+
+    They are SQL functions, which the optimizer puts into the plan as plain expressions; no Python runs.
+    """
+    for name, body in _SQL.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {body}")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION vec_magnitude(a ARRAY<DOUBLE>) RETURNS DOUBLE RETURN sqrt(vec_dot(a, a))")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION vec_normalize(a ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE> RETURN CASE WHEN vec_dot(a, a) > 0 THEN transform(a, x -> x / sqrt(vec_dot(a, a))) END")

@@ -74,6 +74,11 @@ class VectorIndex:
 
     batch_add = add
 
+    def mark_bad(self, labels: DataFrame, reason: str = "application") -> VectorIndex:
+        """Record labels (column label) whose data couldn't be made into a vector. Stored points of those labels stay."""
+        named = labels.select("label").where(F.col("label").isNotNull()).withColumn("reason", F.lit(reason))
+        return replace(self, bad_points=named.distinct() if self.bad_points is None else self.bad_points.unionByName(named).distinct())
+
     def remove(self, gone: DataFrame) -> VectorIndex:
         """Without the points whose id (or label, if gone has only that) is in gone. Unknown and repeated ones do nothing; the last point may go too."""
         key = "id" if "id" in gone.columns else "label"

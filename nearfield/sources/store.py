@@ -80,11 +80,23 @@ class IndexStore:
             if df is not None:
                 df.write.mode("overwrite").option("maxRecordsPerFile", slice_rows).parquet(f"{base}/{part}")
                 has.append(part)
-        meta = {"dim": index.dim, "metric": index.metric if isinstance(index.metric, str) else None, "params": index.params.as_dict(), "parts": has}
+        rows = {p: self.spark.read.parquet(f"{base}/{p}").count() for p in has}  # from the footers
+        meta = {"rows": rows, "dim": index.dim, "metric": index.metric if isinstance(index.metric, str) else None, "params": index.params.as_dict(), "parts": has}
         self._write(f"{self._home(name)}/v={new}/meta.json", json.dumps(meta))
         self._write(f"{self._home(name)}/_CURRENT", str(new))
         return new
 
+    def history(self, name: str) -> list[dict]:
+        """Of every version that is still there: number, rows per part, and whether it is current."""
+        current, out = self.version(name), []
+        if current is None:
+            return out
+        for s in self._fs.listStatus(self._path(self._home(name))):
+            n = s.getPath().getName()
+            if n.startswith("v=") and (text := self._read(f"{self._home(name)}/{n}/meta.json")):
+                out.append({"version": int(n[2:]), "rows": json.loads(text)["rows"], "current": int(n[2:]) == current})
+        return sorted(out, key=lambda v: v["version"])
+
     def load(self, name: str, version: int | None = None, metric=None) -> VectorIndex | None:
         """The index, at its current or a given version; None if there is none. A metric that is a function has to be given again."""
         v = version if version is not None else self.version(name)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from nearfield.index import IndexParams, VectorIndex
 from nearfield.operators.points import random_points
 from nearfield.sources.store import IndexStore, slices
-from nearfield.streaming.changes import apply_changes, follow
+from nearfield.streaming.changes import apply_changes, follow, latest_stream
 
 
 @pytest.fixture()
@@ -30,6 +30,8 @@ def test_bad_points_are_kept_aside(spark, index):
     ix = index.add(spark.createDataFrame([("z", [0.0, 0.0]), ("n", [float("nan"), 1.0]), ("a", [1.0])], "label string, data array<float>"))
     assert {(r["label"], r["reason"]) for r in ix.bad_points.collect()} == {("z", "zero"), ("n", "not_finite"), ("a", "dimension")}
     assert ids(ix) == ids(index)
+    marked = ix.mark_bad(spark.createDataFrame([("lost",), ("lost",), (None,)], "label string"))
+    assert {r["label"] for r in marked.bad_points.collect()} == {"z", "n", "a", "lost"} and marked.bad_points.count() == 4
 
 
 def test_queries_on_an_empty_index(spark):
@@ -70,6 +72,7 @@ def test_store_versions_names_slices_and_equality(spark, index, tmp_path):
     assert first.same_as(index) and store.node_count("main") == 3
     changed = index.remove(spark.createDataFrame([(0,)], "id long"))
     assert store.save("main", changed, expected=1) == 2
+    assert [(v["version"], v["rows"]["points"], v["current"]) for v in store.history("main")] == [(1, 3, False), (2, 2, True)] and store.history("none") == []
     assert not store.load("main").same_as(index) and first.count() == 3
     with pytest.raises(RuntimeError):
         store.save("main", index, expected=1)
@@ -111,6 +114,16 @@ def test_stream_of_changes(spark, index, tmp_path):
     assert {r["label"] for r in store.load("main").items().collect()} == {"a", "b", "new"}
 
 
+def test_changes_per_window_with_a_watermark(spark, tmp_path):
+    schema = "label string, t timestamp"
+    rows = [("a", "2024-01-01 00:01:00"), ("b", "2024-01-01 00:02:00"), ("a", "2024-01-01 00:11:00"), ("late", "2024-01-01 02:00:00")]
+    spark.createDataFrame(rows, "label string, t string").selectExpr("label", "cast(t as timestamp) t").coalesce(1).write.parquet(str(tmp_path / "in"))
+    w = latest_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "t", "5 minutes", "10 minutes")
+    q = w.writeStream.format("memory").queryName("per_window").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.awaitTermination(60)
+    assert [(r["n"], r["labels"]) for r in spark.sql("SELECT * FROM per_window ORDER BY start").collect()] == [(2, 2), (1, 1)]
+
+
 def test_command_line(spark, tmp_path, capsys):
     from nearfield.__main__ import main
 

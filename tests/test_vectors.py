@@ -44,8 +44,15 @@ def test_unusable_reasons(spark):
 
 def test_sql_functions_and_unknown_metric(spark):
     V.register(spark)
-    r = spark.sql("SELECT vec_cosine(array(1D, 0D), array(0D, 1D)) AS c, vec_euclidean(array(0D), array(3D)) AS e, vec_magnitude(array(3D, 4D)) AS m").first()
-    assert (r["c"], r["e"], r["m"]) == (1.0, 3.0, 5.0)
+    df = spark.createDataFrame([p for p in PAIRS if p[0] and len(p[0]) == len(p[1])], "a array<float>, b array<float>")
+    df.createOrReplaceTempView("pairs")
+    for name in V.METRICS:
+        got = spark.sql(f"SELECT a, b, vec_{name}(a, b) AS d FROM pairs")
+        assert "Python" not in got._jdf.queryExecution().toString()
+        for r in got.collect():
+            assert r["d"] == pytest.approx(kernels.SCALAR[name](np.array(r["a"]), np.array(r["b"])), abs=1e-9)
+    r = spark.sql("SELECT vec_magnitude(array(3D, 4D)) AS m, vec_normalize(array(3D, 4D)) AS n, vec_normalize(array(0D)) AS z, vec_cosine(NULL, array(1D)) AS c, vec_dot(array(1D), array(1D, 2D)) AS d").first()
+    assert (r["m"], r["n"], r["z"], r["c"], r["d"]) == (5.0, [0.6, 0.8], None, None, None)
     with pytest.raises(ValueError, match="unknown metric"):
         V.metric("manhattan")
 
