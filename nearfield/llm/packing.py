@@ -222,7 +222,8 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: st
 
     Pieces count from 0; all but the last have capacity tokens and a container of their own. Texts without tokens (null, empty) have one row with
     0 tokens and container null. Rows that repeat are packed as often as they stand, as pieces of one doc_id they keep apart only by
-    container. A null doc_id is kept. Empty table: no rows. The packing is the same for the same rows, however they are partitioned.
+    container. A null doc_id is kept. Empty table: no rows. The same rows are packed in the same way, however they are partitioned; only the
+    numbers of containers with a full piece may differ.
     """
     counted = materialize(count_tokens(documents, tokenizer or default_tokenizer()), "tokens")
     full = F.floor(F.col("tokens") / capacity)
@@ -230,8 +231,8 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: st
     sequence = F.when(full > 0, F.sequence(F.lit(0).cast("long"), full - F.when(rest == 0, 1).otherwise(0))).otherwise(F.array(F.lit(0).cast("long")))
     pieces = counted.withColumn("piece", F.explode(sequence)).select("doc_id", "piece", F.when(F.col("piece") < full, F.lit(capacity).cast("long")).otherwise(rest).alias("tokens"))
     own = pieces.where(F.col("tokens") == capacity)
-    # full pieces: the container is named by what it holds, far above the packed ones
-    own = own.withColumn("container", F.lit(1 << 62).bitwiseOR(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 62) - 1))))
+    # full pieces: a container of their own, numbered far above the packed ones
+    own = own.withColumn("container", F.lit(1 << 62).bitwiseOR(F.monotonically_increasing_id()))
     empty = pieces.where("tokens = 0").withColumn("container", F.lit(None).cast("long"))
     open_ = pieces.where((F.col("tokens") > 0) & (F.col("tokens") < capacity))
     done = [own, empty]
