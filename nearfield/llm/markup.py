@@ -66,6 +66,14 @@ def lines(text: str) -> str:
     return re.sub(r"\r\n?|[\u2028\u2029\x85]", "\n", text)
 
 
+SPACES = re.compile("[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\t]")
+
+
+def plain_spaces(text: str) -> str:
+    """The text with one kind of space and without invisible characters."""
+    return text if text.isascii() and "\t" not in text else INVISIBLE.sub("", SPACES.sub(" ", text))
+
+
 def sections(text: str) -> list[str]:
     """Bodies of the lead and of each section; headings are left out."""
     return HEADING.split(text)
