@@ -53,13 +53,13 @@ class VectorIndex:
 
     # changes
     def add(self, new: DataFrame, order: str | None = None) -> VectorIndex:
-        """Insert or replace points by label (columns label, data, payload). Of rows with one label the last by `order` counts, else any one of them.
+        """Insert or replace points by label (columns label, data, payload). Of rows with one label the last by `order` counts, else the greatest vector.
 
         A label that is known keeps its id; others get removed ids in ascending order, then new ones. Unusable vectors go to bad_points and
         don't touch a stored point of that label. The graph is dropped, as it no longer fits.
         """
         rows = new.drop("id").where(F.col("label").isNotNull())
-        rows = latest(rows, "label", order) if order else rows.dropDuplicates(["label"])
+        rows = latest(rows, "label", order or "data")
         good, bad = validate(rows, self.dim, zero_ok=self.metric not in ("cosine", "unit_cosine"))
         known = good.join(self.points.select("label", "id"), "label")
         fresh = good.join(self.points.select("label"), "label", "left_anti")

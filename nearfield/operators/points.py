@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import kernels
 from nearfield.functions.vectors import unusable_reason
+from nearfield.session import materialize
 
 
 def latest(points: DataFrame, key: str = "label", order: str = "seq") -> DataFrame:
-    """One row per key: the one with the greatest order. Null keys form one key; of rows that tie, one is kept.
+    """One row per key: the one with the greatest order. Null keys form one key; of rows that tie, the greatest by the other columns in turn.
 
-    A hash aggregate with max_by, so repeated versions of a hot label are reduced before the shuffle.
+    One aggregate over whole rows, so repeated versions of a hot label are reduced before the shuffle.
     """
-    rest = [c for c in points.columns if c != key]
-    got = points.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.col(order), F.struct(*rest))).alias("_row"))
+    rest = [c for c in points.columns if c not in (key, order)]
+    got = points.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("_row"))
     return got.select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in points.columns])
 
 
@@ -32,7 +33,7 @@ def current_usable(points: DataFrame, dim: int = 64) -> DataFrame:
     hides older usable ones. Further columns are dropped. Rows that repeat are one row.
     """
     narrow = points.select("label", "id", "data", "seq")
-    cur = narrow.groupBy("label").agg(F.max_by(F.struct("id", "data"), F.struct("seq", "id")).alias("_row"))
+    cur = narrow.groupBy("label").agg(F.max(F.struct("seq", "id", "data")).alias("_row"))
     cur = cur.select("label", F.col("_row.id").alias("id"), F.col("_row.data").alias("data"))
     return cur.where(unusable_reason(F.col("data"), dim).isNull())
 
@@ -49,7 +50,7 @@ def current_packed(points: DataFrame, dim: int = 64) -> DataFrame:
 
     rows = points.select("label", F.col("id").cast("long").alias("id"), F.col("seq").cast("long").alias("seq"), F.col("data").cast("array<float>").alias("data"))
     packed = rows.mapInArrow(pack, "label string, id long, seq long, v binary")
-    cur = packed.groupBy("label").agg(F.max_by(F.struct("id", "v"), "seq").alias("_row"))
+    cur = packed.groupBy("label").agg(F.max(F.struct("seq", "id", "v")).alias("_row"))
     return cur.select(F.col("_row.id").alias("id"), F.col("_row.v").alias("v")).where("v is not null")
 
 
@@ -73,10 +74,11 @@ def remove(points: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
 def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """df with a running number from 0 in the given order, without bringing all rows into one task.
 
-    Rows are range-partitioned, counted per partition, and the counts (one per partition) become offsets.
+    Rows are range-partitioned and written, as the ranges come from a sample and another run might draw them otherwise; they are counted
+    per partition, and the counts (one per partition) become offsets.
     """
     spark = df.sparkSession
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranged")
     inside = W.partitionBy("_p").orderBy(*order)
     counts = ranged.groupBy("_p").count().collect()  # one row per partition
     start, offsets = 0, {}
