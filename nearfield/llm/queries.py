@@ -25,7 +25,7 @@ def _groups(spark: SparkSession, d: str) -> DataFrame:
     """Density peaks over current usable points. Pivots come from a share of the labels, all versions of which are read, so they are current too."""
     raw = table(spark, d, "points")
     n = raw.count()
-    share = max(1, CELL_ROWS // 16)  # 16 times as many points as pivots are wanted
+    share = max(1, min(CELL_ROWS // 16, n // 10_000))  # 16 times as many points as pivots are wanted, 10 000 at least
     some = current_packed(raw.where(F.pmod(F.xxhash64("label"), F.lit(share)) == 0), DIM) if n > 4 * CELL_ROWS else None
     return density_peaks(current_packed(raw, DIM), DIM, pivot_points=some, n=n)
 
