@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nearfield.operators.diff import diff_tables
 from nearfield.operators.orphans import direct_orphans, edge_references, key_references, orphan_cascade
 from nearfield.plans.tables import table
+from nearfield.session import materialize
 
 PAIRS = (("store_points", "label", ["id", "data", "created_time"]), ("store_nodes", "id", ["out_edges", "in_edges"]))
 
@@ -34,7 +35,7 @@ def p2_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def store_orphans(spark: SparkSession, d: str) -> DataFrame:
     nodes, removed = table(spark, d, "store_nodes"), table(spark, d, "removed_indexes")
-    held = edge_references(nodes)
+    held = materialize(edge_references(nodes), "references")
     listed = key_references(removed, "index_id", "removed_indexes", "removed_at")
     gone = removed.select(F.col("index_id").alias("id"))
     direct = direct_orphans(held.unionByName(listed), nodes.select("id", "saved_at"), gone, missing_only=("removed_indexes",))
