@@ -133,7 +133,8 @@ def match_shard(runs: list[tuple[int, int, np.ndarray]], p: Passages) -> list[tu
 def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, item_id, doc_word, item_word, n_words: every maximal verbatim match of at least min_words words.
 
-    Texts and passages are compared as a reader sees them (see markup.words). Items with the same passage are all reported. Null or
+    Texts and passages are compared as a reader sees them (see markup.words); captions and arguments of templates that show nothing in
+    place are searched by themselves, and doc_word counts on through them behind the running text. Items with the same passage are all reported. Null or
     short passages and null or empty texts match nothing; repeated rows repeat their matches. Passages go out in blocks of
     ITEM_BLOCK; documents are read where they lie, whole, without a shuffle.
     """
@@ -159,9 +160,12 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORD
             runs, held = [], 0
             for batch in batches:
                 for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    for pos, v in known_runs(markup.words(t), p.vocabulary, min_words):
-                        runs.append((d, pos, v))
-                        held += len(v) + 1
+                    begin = 0
+                    for words in markup.passages(t):
+                        for pos, v in known_runs(words, p.vocabulary, min_words):
+                            runs.append((d, begin + pos, v))
+                            held += len(v) + 1
+                        begin += len(words)
                     if held >= SHARD_WORDS:
                         yield flush(runs)
                         runs, held = [], 0

@@ -89,3 +89,24 @@ def test_blocks_of_passages(spark, passage, monkeypatch):
     items = spark.createDataFrame([(i, passage + f" end{i}") for i in range(7)], "item_id long, passage string")
     d = spark.createDataFrame([(1, passage)], "doc_id long, text string")
     assert {r["item_id"] for r in L.find_leaks(d, items).collect()} == set(range(7))
+
+
+SAID = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november"
+
+
+@pytest.mark.parametrize(
+    ("text", "at"),
+    [
+        ("one two {{Quote|" + SAID + "|Author}} three", 2),
+        ("one {{ blockquote\n|text = " + SAID + "\n|author=X}}", 1),
+        ("one {{Quote|alpha bravo charlie [[delta|delta]] {{lang|fr|echo}} foxtrot golf hotel}} india {{nowrap|juliet kilo}} lima{{citation needed|date=May 2012}} mike november", 1),
+        ("{{Infobox place|name=X|note=" + SAID + "}} one two", 3),
+        ("one [[File:a.jpg|thumb|" + SAID + "]]", 2),
+        ("one {{unknown|{{Quote|" + SAID + "}}}}", 1),
+    ],
+)
+def test_passages_in_templates_and_captions_are_found(spark, text, at):
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, SAID)], "item_id long, passage string")
+    assert [tuple(r) for r in L.find_leaks(d, items).collect()] == [(1, 7, at, 0, 14)]
+    assert L.without_leaks(d, items).count() == 0
