@@ -83,49 +83,141 @@ SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n(?=[*#|{%])")
 QUOTED = re.compile(r"\"[^\"\n]{1,80}\"|“[^”\n]{1,80}”|«[^»\n]{1,80}»|„[^“\n]{1,80}“")
 #: Beginnings of the words of lorem ipsum and its imitations.
 LATIN_FILLER = re.compile(r"\b(?:lorem|ips|dolor|amet|conse|adip|elit|tempo|tempu|magna|aliq|sodal|matt|phare|just|ornar|nibh|tell|aran|soli|sagit|vest|como|comm|dict|egest|veli|purv|puru|libr|libe|quod|nunc|memr|feror|plic)\w*", I)
-#: Literals in lower case of which every case holds one; texts without them are passed over. They say nothing more.
-LITERALS = (
-    "{{ ", "{%", "<%", "${", "#{", "$", "%t", "%d", "%y", "%n", "%p", "%r", "%a", "%c", "%s", "%l", "@", " :", "__", "<<", "&lt;&lt;", "#n/a", "#ref!", "#value!", "#div/0!", "#name?", "#null!", "[object", "......",
-    "[insert", "[add", "[enter", "[type of", "[name of", "[your", "[describe", "[write", "[replace", "[choose", "[date", "[place", "[region", "[number", "[hier", "[ajouter", "[insérer", "[añadir", "[insertar", "[вставьте",
-    "xx", "yy", "zz", "nnn", "tbd", "tba", "tbc", "undefined", "nan", "none", "null", " ,", " .", " ;", "  km", "  m", "  ha", "  inh", "  einw", "  hab", "had inhabitants", "()", "( ", " a in ", " an in ", " a of ", " un de ", " ein in ", " una de ", " une de ",
-    "lorem", "ipsum", "dolor", "amet", "sodal", "matt", "phar", "egest", "veli", "tellip", "sagit", "text", "paragraph", "content", "caption", "list item", "numbered entry", "todo", "fixme", "blindtext", "platzhalter", "заполнитель",
-    "javascript", "java script", " scripts", " script ", "scripting", "script blocking", "noscript", "\nscript", "скрипт", "error", "fehler", "erreur", "ошибка", "código", "code", "код", "forbidden", "unauthorized", "unavailable", "time-out", "timeout", "request", " gone", "technical difficulties", "database", "could not be", "zeitüberschreitung", "erreichbar", "affichée", "no se puede", "servicio no", "недоступ", "denied", "permission", "bug in the",
-    "too many", "exist", "missingtitle", "traceback", "exception", "unrecognized", "bad gateway", "valid reply", "not found",
-)
+#: Characters that are equal to others without case though lower() keeps them apart.
+_SAME = {other: min(a, *b) for a, b in re._casefix._EXTRA_CASES.items() for other in (a, *b) if other != min(a, *b)}
+_RARE = re.compile("[" + "".join(map(chr, _SAME)) + "]")
+
+
+def _one_case(text: str) -> str:
+    """The text with one character for all that expressions without case take for equal."""
+    if text.isascii():
+        return text.lower()
+    text = text.replace("\u0130", "i").lower()
+    return text.translate(_SAME) if _RARE.search(text) else text
+
+
+def literals(pattern: re.Pattern) -> frozenset[str] | None:
+    """Literals, in one case, of which every match holds one, taken from the expression itself; None if it has none of use."""
+
+    def exact(op, value) -> list[str] | None:
+        """The few texts that an item can match, if they are known."""
+        if op is C.LITERAL:
+            return [chr(value)]
+        if op is C.IN and all(o is C.LITERAL for o, _ in value) and len(value) <= 4:
+            return [chr(v) for _, v in value]
+        if op is C.AT:
+            return [""]
+        if op in (C.ASSERT, C.ASSERT_NOT):
+            return [""]
+        if op is C.SUBPATTERN:
+            return exacts(value[3])
+        if op is C.BRANCH:
+            each = [exacts(x) for x in value[1]]
+            return None if any(e is None for e in each) else [t for e in each for t in e]
+        if op in (C.MAX_REPEAT, C.MIN_REPEAT) and value[1] == 1 and (one := exacts(value[2])) is not None:
+            return one + ([""] if value[0] == 0 else [])
+        return None
+
+    def exacts(items) -> list[str] | None:
+        out = [""]
+        for op, value in items:
+            e = exact(op, value)
+            if e is None or len(e) * len(out) > 64:
+                return None
+            out = [x + y for x in out for y in e]
+        return out
+
+    def worth(x) -> tuple:
+        return min(map(len, x)), -len(x)
+
+    def needed(items) -> list[str] | None:
+        """Literals one of which stands in every match of the items: the best of their runs of known texts and of their parts."""
+        offers, run = [], [""]
+        for op, value in items:
+            e = exact(op, value)
+            if e is not None and len(e) * len(run) <= 64:
+                run = [x + y for x in run for y in e]
+                continue
+            if op in (C.MAX_REPEAT, C.MIN_REPEAT) and value[0] >= 1 and (one := exacts(value[2])) is not None and len(one) * len(run) <= 64:
+                run = [x + y for x in run for y in one]
+            offers.append(run)
+            run = e if e is not None and len(e) <= 64 else [""]
+            if op is C.SUBPATTERN:
+                offers.append(needed(value[3]))
+            elif op is C.BRANCH:
+                each = [needed(x) for x in value[1]]
+                offers.append(None if any(e is None for e in each) else [t for e in each for t in e])
+            elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and value[0] >= 1:
+                offers.append(needed(list(value[2]) * min(value[0], 8)))
+        offers.append(run)
+        offers = [o for o in offers if o and all(o)]
+        return max(offers, key=worth) if offers else None
+
+    C = re._constants
+    found = needed(re._parser.parse(pattern.pattern, pattern.flags & ~re.U))
+    return frozenset(map(_one_case, found)) if found else None
+
+
+#: Expressions of kind_of, each with the bit that says a text may hold a match of it.
+RULES = {p: 1 << i for i, p in enumerate((*PLACEHOLDERS.values(), DUMMY, DUMMY_UPPER, DUMMY_VALUE, GAP, LATIN_FILLER, FILLER, SCRIPT, ERROR))}
+ALL_RULES = (1 << len(RULES)) - 1
 
 
 @functools.cache
-def _automaton() -> ahocorasick.Automaton:
+def _automaton() -> tuple[ahocorasick.Automaton, int]:
+    """(automaton of the literals of all rules, bits of the rules without literals)."""
+    bits: dict[str, int] = {}
+    always = 0
+    for p, bit in RULES.items():
+        words = literals(p)
+        if words is None or any(w.isalnum() or w in " ,.;" for w in words if len(w) == 1):  # literals that stand in any text
+            always |= bit
+        else:
+            for w in words:
+                bits[w] = bits.get(w, 0) | bit
     a = ahocorasick.Automaton()
-    for w in LITERALS:
-        a.add_word(w, 1)
+    for w, bit in bits.items():
+        a.add_word(w, bit)
     a.make_automaton()
-    return a
+    return a, always
 
 
-def may_hold_residue(text: str) -> bool:
-    if next(_automaton().iter(text.lower()), None):
-        return True
-    return "{" in text.replace("{{", "").replace("{|", "")
+def rules_of(text: str) -> int:
+    """Bits of the rules that may match in a text or in any part of it: all others can't, for their literals are missing."""
+    a, found = _automaton()
+    for _, bit in a.iter(_one_case(text)):
+        found |= bit
+    return found
 
 
 #: Share of a section's letters that must stand in marked sentences, or of the letters of one of its paragraphs.
 DENSITY, BLOCK_DENSITY = 0.6, 0.85
 
 
-def kind_of(sentence: str) -> str | None:
-    """What a sentence is, if it is residue by itself: placeholder, filler, error or script."""
-    if any(p.search(sentence) for p in PLACEHOLDERS.values()):
+@functools.cache
+def _placeholders(rules: int) -> list[re.Pattern]:
+    return [p for p in PLACEHOLDERS.values() if rules & RULES[p]]
+
+
+def kind_of(sentence: str, rules: int = ALL_RULES) -> str | None:
+    """What a sentence is, if it is residue by itself: placeholder, filler, error or script. rules are those that may match, see rules_of."""
+
+    def on(p: re.Pattern) -> int:
+        return rules & RULES[p]
+
+    if rules == RULES[GAP]:
+        return "placeholder" if len(GAP.findall(sentence)) >= 2 else None
+    if any(p.search(sentence) for p in _placeholders(rules)):
         return "placeholder"
-    dummies = DUMMY.findall(sentence) + DUMMY_UPPER.findall(sentence)
-    if len(dummies) >= 2 or DUMMY_VALUE.search(sentence) or len(GAP.findall(sentence)) >= 2:
+    dummies = (DUMMY.findall(sentence) if on(DUMMY) else []) + (DUMMY_UPPER.findall(sentence) if on(DUMMY_UPPER) else [])
+    if len(dummies) >= 2 or on(DUMMY_VALUE) and DUMMY_VALUE.search(sentence) or on(GAP) and len(GAP.findall(sentence)) >= 2:
         return "placeholder"
-    latin = LATIN_FILLER.findall(sentence)
-    if len(latin) >= 6 and len(latin) * 2 >= len(sentence.split()) or (FILLER.search(sentence) and not re.search(r"\b(?:called|known as|such as|printers|typeface|genannt|appelé|llamado)\b", sentence, I)):
+    latin = LATIN_FILLER.findall(sentence) if on(LATIN_FILLER) else []
+    if len(latin) >= 6 and len(latin) * 2 >= len(sentence.split()) or (on(FILLER) and FILLER.search(sentence) and not re.search(r"\b(?:called|known as|such as|printers|typeface|genannt|appelé|llamado)\b", sentence, I)):
         return "filler"
-    if SCRIPT.search(QUOTED.sub(" ", sentence)):
+    if on(SCRIPT) and SCRIPT.search(QUOTED.sub(" ", sentence)):
         return "script"
-    if ERROR.search(sentence) and not re.search(r"\b(?:answered|replied|showed|displayed) with\b|\"\s*when\b|\bera\b", sentence, I):
+    if on(ERROR) and ERROR.search(sentence) and not re.search(r"\b(?:answered|replied|showed|displayed) with\b|\"\s*when\b|\bera\b", sentence, I):
         return "error"
     return None
 
@@ -147,7 +239,9 @@ def judge_section(body: str) -> tuple[str | None, float]:
     rest = TITLE_LINE.sub("", text)
     if rest.strip():
         text = rest
-    blocks = [[(s, kind_of(s) if may_hold_residue(s) else None) for s in SENTENCE.split(ONE_LINE.sub(" ", b))] for b in BLANK_LINE.split(text)]
+    paragraphs = [ONE_LINE.sub(" ", b) for b in BLANK_LINE.split(text)]
+    # script notices are sought with quotes blanked, which puts no letters together
+    blocks = [[(s, kind_of(s, rules)) for s in SENTENCE.split(b)] for b in paragraphs for rules in [rules_of(b)]]
     if not any(k for b in blocks for _, k in b):
         return None, 0.0
     kinds: dict[str, int] = {}
@@ -175,7 +269,7 @@ def judge(text: str | None, namespace: int | None) -> tuple[int, str, float] | N
     if not text or namespace == 10:
         return None
     text = markup.plain_spaces(markup.lines(text))
-    if not may_hold_residue(text) or REDIRECT.match(text):
+    if REDIRECT.match(text):
         return None
     for i, body in enumerate(markup.sections(markup.COMMENT.sub("", text))):
         kind, share = judge_section(body)

@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from nearfield.llm import markup as M
 from nearfield.llm import residue as R
@@ -124,3 +126,45 @@ def test_table_with_nulls_repeats_and_clashing_columns(spark):
 
 def test_queries(spark):
     assert 0 < p8_found(spark, DATA).count() == p8_kinds(spark, DATA).select("doc_id").distinct().count()
+
+
+#: Sentences that rules of the module mark.
+MARKED = [
+    "%USERNAME% is a village.",
+    "%UNIT% of %MUNICIPALITY%",
+    "{{site.name}} lies in {{page.region}}.",
+    "Здесь будет текст.",
+    "Здесь должен быть текст.",
+    "Образец текста.",
+    "Insert formula here",
+    "Scripts are disabled.",
+    "Scripts must be enabled.",
+    ":name: is a village.",
+    "X est un en Y, born in, the d.",
+    "ſcriptſ are diſabled.",
+    "PLEASE ENABLE JAVASCRİPT.",
+]
+
+
+@pytest.mark.parametrize("text", MARKED)
+def test_marked_sentences_are_residue(text):
+    assert R.kind_of(text) and R.judge(text, 0) is not None
+
+
+@pytest.mark.parametrize("text", [s for ts in RESIDUE.values() for t in ts for s in R.SENTENCE.split(t)] + MARKED)
+def test_rules_that_match_are_never_passed_over(text):
+    for t in (text, text.upper(), text.lower()):
+        assert all(R.rules_of(t) & bit for p, bit in R.RULES.items() if p.search(t))
+        assert R.kind_of(t, R.rules_of(t)) == R.kind_of(t)
+
+
+@pytest.mark.parametrize("rule", range(len(R.RULES)))
+def test_every_rule_finds_its_literals_in_generated_matches(rule):
+    pattern, bit = list(R.RULES.items())[rule]
+
+    @settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(pattern))
+    def run(text):
+        assert R.rules_of(text) & bit
+
+    run()
