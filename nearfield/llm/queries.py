@@ -62,13 +62,13 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_subset(spark: SparkSession, d: str) -> DataFrame:
     """256 points that cover the variety of all current usable points."""
-    return varied_subset(_points(spark, d), DIM)
+    return varied_subset(_points(spark, d), DIM, members=_groups(spark, d))
 
 
 def p5_represented(spark: SparkSession, d: str) -> DataFrame:
     """For each member of the subset, how many points are nearest to it, and how far they are."""
     points = _points(spark, d)
-    per = represented(points, varied_subset(points, DIM), DIM)
+    per = represented(points, varied_subset(points, DIM, members=_groups(spark, d)), DIM)
     return per.groupBy("member").agg(F.count("*").alias("n_points"), F.avg("distance").alias("mean_distance"), F.max("distance").alias("max_distance"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions import kernels
+from nearfield.llm.peaks import density_peaks
 from nearfield.session import materialize
 
 #: Members of the subset.
@@ -24,24 +25,18 @@ SIZE = 256
 WIDTH = 0.35
 #: Rows of a shard, and core-sets merged in one task: bound the memory of a task.
 SHARD_ROWS, FAN_IN = 16_000, 32
-#: A row's weight is 1 + EMPHASIS * ln(1 + rows within distance NEAR among REFERENCE_ROWS of its shard).
-REFERENCE_ROWS, NEAR, EMPHASIS = 1024, 0.05, 0.2
+#: A row's weight is 1 + EMPHASIS * ln(rows of its group, over all points; see peaks.density_peaks).
+EMPHASIS = 0.2
 _RAW = "id long, data array<float>, weight double"
 
 
-def quality(u: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Weight of each vector of a shard, at least 1: it grows as the logarithm of how many of REFERENCE_ROWS rows of the shard are close by.
+def weights(members: DataFrame) -> DataFrame:
+    """id, weight of the points of groups of at least 2, from id and group_id of all points: it grows as the logarithm of the group's size. All others weigh 1.
 
     So large groups are represented beside the far more numerous loose points; a second member of a group has hardly any variance left, whatever its weight.
     """
-    reference = u[np.argsort(_mix(ids), kind="stable")[:REFERENCE_ROWS]]
-    near = np.concatenate([(u[s : s + 4096] @ reference.T >= 1.0 - NEAR).sum(axis=1) for s in range(0, len(u), 4096)])
-    return 1.0 + EMPHASIS * np.log1p(near * (REFERENCE_ROWS / len(reference)))
-
-
-def _mix(ids: np.ndarray) -> np.ndarray:
-    z = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return z ^ (z >> np.uint64(31))
+    size = members.groupBy("group_id").agg(F.count("*").alias("size")).where("size > 1")
+    return members.select("id", "group_id").join(size, "group_id").select("id", (1.0 + EMPHASIS * F.log("size")).alias("weight"))
 
 
 def greedy(u: np.ndarray, ids: np.ndarray, weight: np.ndarray, size: int, width: float = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -70,21 +65,21 @@ def greedy(u: np.ndarray, ids: np.ndarray, weight: np.ndarray, size: int, width:
     return order[taken], gains
 
 
-def _select(ids: np.ndarray, x: np.ndarray, weight: np.ndarray | None, size: int, width: float):
+def _select(ids: np.ndarray, x: np.ndarray, weight: np.ndarray, size: int, width: float):
     first = np.unique(ids, return_index=True)[1]
-    ids, x = ids[first], x[first]
+    ids, x, weight = ids[first], x[first], weight[first]
     u = kernels.unit(x.astype(np.float64)).astype(np.float32)
-    weight = quality(u, ids) if weight is None else weight[first]
     at, gains = greedy(u, ids, weight, size, width)
     return ids[at], x[at], weight[at], gains
 
 
-def varied_subset(points: DataFrame, dim: int, size: int = SIZE, width: float = WIDTH) -> DataFrame:
+def varied_subset(points: DataFrame, dim: int, size: int = SIZE, width: float = WIDTH, members: DataFrame | None = None) -> DataFrame:
     """id, rank, gain: size points that cover the variety of the data; rank from 1 in the order taken.
 
     points has id and data, all vectors usable (see points.current_usable). Repeated ids are one point, rows with a null id take no part; copies of a taken vector come last, with
     gain 0, and only if nothing else is left. With size or fewer points all are returned; size <= 0 and an empty table give no rows. Extra
     columns don't matter. Shards follow the partitions of points, so another partitioning may choose another, equally varied, subset.
+    members may give id and group_id of all points (see peaks.density_peaks), if they are known or cheaper to find elsewhere.
     """
     spark = points.sparkSession
     schema = "id long, rank int, gain double"
@@ -97,12 +92,12 @@ def varied_subset(points: DataFrame, dim: int, size: int = SIZE, width: float =
 
     def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shard(held):
-            return table_of(*_select(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), None, size, width)[:3])
+            return table_of(*_select(*(np.concatenate(column) for column in zip(*held)), size, width)[:3])
 
         held, n = [], 0
         for b in batches:
             if b.num_rows:
-                held.append((b.column(0).to_numpy(zero_copy_only=False), kernels.matrix(b.column(1), dim)))
+                held.append((b.column(0).to_numpy(zero_copy_only=False), kernels.matrix(b.column(1), dim), b.column(2).to_numpy(zero_copy_only=False)))
                 n += b.num_rows
             if n >= SHARD_ROWS:
                 yield shard(held)
@@ -118,6 +113,7 @@ def varied_subset(points: DataFrame, dim: int, size: int = SIZE, width: float =
         return pa.table({"id": pa.array(ids), "rank": pa.array(np.arange(1, len(ids) + 1, dtype=np.int32)), "gain": pa.array(gains)})
 
     src = points.where("id is not null").select(F.col("id").cast("long").alias("id"), F.col("data").cast("array<float>").alias("data"))
+    src = src.join(weights(density_peaks(points, dim) if members is None else members), "id", "left").select("id", "data", F.coalesce("weight", F.lit(1.0)).alias("weight"))
     core = materialize(src.mapInArrow(cores, _RAW), "core0")
     n, rounds = core.count(), 0
     while n > FAN_IN * size:

@@ -74,3 +74,13 @@ def test_queries(spark):
 def test_null_ids_take_no_part(spark):
     p = spark.createDataFrame([(None, [1.0, 0.0], None), (1, [1.0, 0.0], None), (2, [0.0, 1.0], None)], "id long, data array<float>, rank int")
     assert {r["id"] for r in S.varied_subset(p, 2, 5).collect()} == {1, 2}
+
+
+def test_weights_count_all_points(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARD_ROWS", 300)
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((2, 24))
+    x = np.concatenate([centres[0] + 0.05 * rng.standard_normal((16, 24)), centres[1] + 0.05 * rng.standard_normal((9, 24)), rng.standard_normal((1500, 24))])
+    got = S.varied_subset(frame(spark, x).repartition(8), 24, 20).orderBy("rank").collect()
+    assert got[0]["id"] < 16 <= got[1]["id"] < 25 <= min(r["id"] for r in got[2:])
+    assert np.isclose(got[0]["gain"], 1 + S.EMPHASIS * np.log(16)) and np.isclose(got[1]["gain"], 1 + S.EMPHASIS * np.log(9), rtol=0.05)
