@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,20 +38,50 @@ def current_usable(points: DataFrame, dim: int = 64) -> DataFrame:
     return cur.where(unusable_reason(F.col("data"), dim).isNull())
 
 
+#: Bits of the map of labels with several rows: bounds what is sent (4 MB). With more such labels than that, more rows than needed take the way over the shuffle.
+LABEL_BITS = 1 << 25
+_BITMAP = 1 << 15
+
+
+def _bit(label: Column) -> Column:
+    return F.pmod(F.xxhash64(label), F.lit(LABEL_BITS))
+
+
+def repeated_labels(points: DataFrame) -> np.ndarray:
+    """A map of LABEL_BITS bits, as bytes: set for every label that has several rows (and for labels that share its bit)."""
+    several = points.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select(_bit(F.col("label")).alias("h"))
+    maps = several.groupBy((F.col("h") / _BITMAP).cast("int").alias("b")).agg(F.bitmap_construct_agg(F.col("h") % _BITMAP).alias("m")).collect()  # at most LABEL_BITS / _BITMAP rows
+    out = np.zeros(LABEL_BITS // 8, np.uint8)
+    for r in maps:
+        out[r["b"] * (_BITMAP // 8) :][: _BITMAP // 8] = np.frombuffer(bytes(r["m"]), np.uint8)
+    return out
+
+
 def current_packed(points: DataFrame, dim: int = 64) -> DataFrame:
-    """The points of current_usable as id and v: the vector as bytes (see kernels.pack), which halves what is shuffled where that loses nothing."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good, x = kernels.usable_rows(b.column(3), dim)
-            v = np.full(b.num_rows, None, object)
-            v[good] = kernels.pack(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(v.tolist(), pa.binary())], ["label", "id", "seq", "v"])
-
-    rows = points.select("label", F.col("id").cast("long").alias("id"), F.col("seq").cast("long").alias("seq"), F.col("data").cast("array<float>").alias("data"))
-    packed = rows.mapInArrow(pack, "label string, id long, seq long, v binary")
-    cur = packed.groupBy("label").agg(F.max(F.struct("seq", "id", "v")).alias("_row"))
-    return cur.select(F.col("_row.id").alias("id"), F.col("_row.v").alias("v")).where("v is not null")
+    """The points of current_usable as id and v: the vector as bytes (see kernels.pack), which halves what is shuffled where that loses nothing.
+
+    Only rows whose label may have several rows are shuffled; a map of bounded size says which. All others are current where they lie.
+    """
+    sent = points.sparkSession.sparkContext.broadcast(repeated_labels(points))
+
+    def pack(several: bool) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = sent.value
+            for b in batches:
+                h = b.column(4).to_numpy(zero_copy_only=False)
+                b = b.filter(pa.array(((bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1) == several))
+                good, x = kernels.usable_rows(b.column(3), dim)
+                v = np.full(b.num_rows, None, object)
+                v[good] = kernels.pack(x)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(v.tolist(), pa.binary())], ["label", "id", "seq", "v"])
+
+        return run
+
+    rows = points.select("label", F.col("id").cast("long").alias("id"), F.col("seq").cast("long").alias("seq"), F.col("data").cast("array<float>").alias("data"), _bit(F.col("label")).alias("h"))
+    schema = "label string, id long, seq long, v binary"
+    latest_ = rows.mapInArrow(pack(True), schema).groupBy("label").agg(F.max(F.struct("seq", "id", "v")).alias("_row"))
+    several = latest_.select(F.col("_row.id").alias("id"), F.col("_row.v").alias("v"))
+    return rows.mapInArrow(pack(False), schema).select("id", "v").unionAll(several).where("v is not null")
 
 
 def validate(points: DataFrame, dim: int, zero_ok: bool = False) -> tuple[DataFrame, DataFrame]:
