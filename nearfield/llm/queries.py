@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from nearfield.llm.forest import similar_vectors
 from nearfield.llm.leakage import find_leaks, without_leaks
 from nearfield.llm.packing import CAPACITY, container_fill, pack_documents
-from nearfield.llm.peaks import CELL_ROWS, density_peaks, describe_groups, large_groups
+from nearfield.llm.peaks import CELL_ROWS, SAMPLE_ROWS, density_peaks, describe_groups, large_groups
 from nearfield.llm.residue import find_residue
 from nearfield.llm.subset import represented, varied_subset
 from nearfield.operators.points import current_packed, current_usable
@@ -21,13 +21,13 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
     return current_usable(table(spark, d, "points"), DIM)
 
 
-def _groups(spark: SparkSession, d: str) -> DataFrame:
+def _groups(spark: SparkSession, d: str, singles: bool = False) -> DataFrame:
     """Density peaks over current usable points. Pivots come from a share of the labels, all versions of which are read, so they are current too."""
     raw = table(spark, d, "points")
     n = raw.count()
-    share = max(1, min(CELL_ROWS // 16, n // 10_000))  # 16 times as many points as pivots are wanted, 10 000 at least
-    some = current_packed(raw.where(F.pmod(F.xxhash64("label"), F.lit(share)) == 0), DIM) if n > 4 * CELL_ROWS else None
-    return density_peaks(current_packed(raw, DIM), DIM, pivot_points=some, n=n)
+    share = max(1, n // max(2 * SAMPLE_ROWS, 4 * n // CELL_ROWS))  # a few times as many points as are sampled
+    some = current_usable(raw.where(F.pmod(F.xxhash64("label"), F.lit(share)) == 0), DIM)
+    return density_peaks(current_packed(raw, DIM), DIM, pivot_points=some, n=n, singles=singles)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,12 +37,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups with their size and most typical members."""
-    return describe_groups(_groups(spark, d))
+    groups = describe_groups(_groups(spark, d))
+    return groups.select("group_id", "size", F.array_join(F.transform("typical", lambda i: i.cast("string")), ",").alias("typical"))
 
 
 def p1_members(spark: SparkSession, d: str) -> DataFrame:
     """Every point with its group, peak, density and distance to the nearest denser neighbour."""
-    return _groups(spark, d)
+    rounded = [(F.round(c, 6) + 0.0).alias(c) for c in ("density", "delta")]
+    return _groups(spark, d, singles=True).select("id", "group_id", "peak", *rounded)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -60,15 +62,19 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return near.select("query_id", "id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+def _subset(spark: SparkSession, d: str) -> DataFrame:
+    raw = table(spark, d, "points")
+    return varied_subset(current_packed(raw, DIM), DIM, members=_groups(spark, d), n=raw.count())
+
+
 def p5_subset(spark: SparkSession, d: str) -> DataFrame:
     """256 points that cover the variety of all current usable points."""
-    return varied_subset(_points(spark, d), DIM, members=_groups(spark, d))
+    return _subset(spark, d)
 
 
 def p5_represented(spark: SparkSession, d: str) -> DataFrame:
     """For each member of the subset, how many points are nearest to it, and how far they are."""
-    points = _points(spark, d)
-    per = represented(points, varied_subset(points, DIM, members=_groups(spark, d)), DIM)
+    per = represented(_points(spark, d), _subset(spark, d), DIM)
     return per.groupBy("member").agg(F.count("*").alias("n_points"), F.avg("distance").alias("mean_distance"), F.max("distance").alias("max_distance"))
 
 
@@ -129,9 +135,20 @@ _NEAR = f"""n AS (SELECT id, data, sqrt({_DOT.format(a="data", b="data")}) AS l
 r AS (SELECT q.id AS query_id, p.id AS id, 1 - {_DOT.format(a="q.data", b="p.data")} / (q.l * p.l) AS distance FROM n p JOIN n q ON p.id <> q.id WHERE {{queries}}),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM r)"""
 
+_COS = "list_cosine_distance({}::DOUBLE[], {}::DOUBLE[])"
+_PEAKS = f"""{_USABLE}, link AS (SELECT a.id AS a, b.id AS b, {_COS.format("a.data", "b.data")} AS d FROM cur a JOIN cur b ON a.id <> b.id AND {_COS.format("a.data", "b.data")} <= 0.05),
+reach AS (SELECT DISTINCT a AS id, a AS root FROM link UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.id), g AS (SELECT id, min(root) AS group_id FROM reach GROUP BY 1),
+dens AS (SELECT c.id, coalesce(any_value(g.group_id), c.id) AS group_id, coalesce(round(sum(1 - l.d / 0.05), 9), 0) AS density FROM cur c LEFT JOIN g ON g.id = c.id LEFT JOIN link l ON l.a = c.id GROUP BY c.id)"""
+
 ORACLES: dict[str, str] = {
     "p1_found": f"""WITH RECURSIVE {_USABLE}, link AS (SELECT a.id AS a, b.id AS b FROM cur a JOIN cur b ON a.id <> b.id AND list_cosine_distance(a.data::DOUBLE[], b.data::DOUBLE[]) <= 0.05),
 reach AS (SELECT DISTINCT a AS id, a AS root FROM link UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.id),
 g AS (SELECT id, min(root) AS group_id FROM reach GROUP BY 1) SELECT id, group_id FROM g WHERE group_id IN (SELECT group_id FROM g GROUP BY 1 HAVING count(*) >= 6)""",
+    "p1_groups": f"""WITH RECURSIVE {_PEAKS} SELECT group_id, count(*) AS size, array_to_string(list(id ORDER BY density DESC, id)[:5], ',') AS typical FROM dens GROUP BY 1 HAVING count(*) >= 6""",
+    "p1_members": f"""WITH RECURSIVE {_PEAKS},
+pair AS (SELECT a.id, b.id AS other, {_COS.format("x.data", "y.data")} AS d, b.density > a.density OR (b.density = a.density AND b.id < a.id) AS denser FROM dens a JOIN dens b ON a.group_id = b.group_id AND a.id <> b.id JOIN cur x ON x.id = a.id JOIN cur y ON y.id = b.id),
+up AS (SELECT id, coalesce(arg_min(other, d) FILTER (denser AND d <= 0.05), id) AS up, coalesce(min(d) FILTER (denser), max(d)) AS delta FROM pair GROUP BY 1),
+chase AS (SELECT id, up FROM up UNION SELECT c.id, u.up FROM chase c JOIN up u ON c.up = u.id)
+SELECT s.id, s.group_id, coalesce(c.up, s.id) AS peak, round(s.density, 6) + 0.0 AS density, round(coalesce(u.delta, 0), 6) + 0.0 AS delta FROM dens s LEFT JOIN up u ON u.id = s.id LEFT JOIN (SELECT id, up FROM chase WHERE up IN (SELECT id FROM up WHERE id = up)) c ON c.id = s.id""",
     "p3_found": f"WITH {_USABLE}, {_NEAR.format(queries='q.id IN (SELECT id FROM probes)')} SELECT DISTINCT least(query_id, id) AS id_a, greatest(query_id, id) AS id_b FROM k WHERE rank <= 10",
 }

@@ -2,8 +2,8 @@
 
 The kernel of two vectors is exp(-distance / width), cosine distance. Greedy selection takes, again and again, the vector
 with the greatest variance left given those taken, which is what most increases the determinant; incremental Cholesky rows make a step
-one matrix-vector product. Every shard of points gives a core-set of the full size; core-sets are merged, a bounded number at a time, by
-the same selection until one is left.
+one matrix-vector product. Shards are hashes of ids, so the result doesn't depend on how the points are partitioned. Every shard gives a core-set of
+the full size; core-sets are merged, a bounded number at a time, by the same selection until one is left.
 """
 
 from __future__ import annotations
@@ -73,55 +73,55 @@ def _select(ids: np.ndarray, x: np.ndarray, weight: np.ndarray, size: int, width
     return ids[at], x[at], weight[at], gains
 
 
-def varied_subset(points: DataFrame, dim: int, size: int = SIZE, width: float = WIDTH, members: DataFrame | None = None) -> DataFrame:
+def varied_subset(points: DataFrame, dim: int, size: int = SIZE, width: float = WIDTH, members: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """id, rank, gain: size points that cover the variety of the data; rank from 1 in the order taken.
 
-    points has id and data, all vectors usable (see points.current_usable). Repeated ids are one point, rows with a null id take no part; copies of a taken vector come last, with
+    points has id and data, all vectors usable (see points.current_usable), or v instead of data (see points.current_packed). Repeated ids are one point, rows with a null id take no part; copies of a taken vector come last, with
     gain 0, and only if nothing else is left. With size or fewer points all are returned; size <= 0 and an empty table give no rows. Extra
-    columns don't matter. Shards follow the partitions of points, so another partitioning may choose another, equally varied, subset.
-    members may give id and group_id of all points (see peaks.density_peaks), if they are known or cheaper to find elsewhere.
+    columns don't matter. The same points give the same subset, however they are partitioned.
+    members may give id and group_id of all points (see peaks.density_peaks), or of those in groups of at least 2, if they are known or cheaper to find elsewhere, and n the number of points, about.
     """
-    spark = points.sparkSession
+    spark, ready = points.sparkSession, "v" in points.columns
     schema = "id long, rank int, gain double"
     if size <= 0:
         return spark.createDataFrame([], schema)
+    shards = max(1, -(-(points.count() if n is None else n) // SHARD_ROWS))
 
-    def table_of(ids, x, weight) -> pa.RecordBatch:
+    def table_of(ids, x, weight) -> pa.Table:
         data = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dim), pa.int32()), pa.array(x.astype(np.float32).ravel()))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), data, pa.array(weight)], ["id", "data", "weight"])
-
-    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def shard(held):
-            return table_of(*_select(*(np.concatenate(column) for column in zip(*held)), size, width)[:3])
-
-        held, n = [], 0
-        for b in batches:
-            if b.num_rows:
-                held.append((b.column(0).to_numpy(zero_copy_only=False), kernels.matrix(b.column(1), dim), b.column(2).to_numpy(zero_copy_only=False)))
-                n += b.num_rows
-            if n >= SHARD_ROWS:
-                yield shard(held)
-                held, n = [], 0
-        if held:
-            yield shard(held)
+        return pa.table({"id": pa.array(ids, pa.int64()), "data": data, "weight": pa.array(weight)})
+
+    def core_set(t: pa.Table, heavy: pa.Table) -> pa.Table:
+        ids = t["id"].to_numpy()
+        x = kernels.unpack(t["v"].to_pylist(), dim, np.float32) if ready else kernels.matrix(t["data"], dim)
+        order = np.argsort(heavy["id"].to_numpy(), kind="stable")
+        known, value = heavy["id"].to_numpy()[order], heavy["weight"].to_numpy()[order]
+        weight = np.ones(len(ids))
+        if len(known):
+            at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+            weight = np.where(known[at] == ids, value[at], 1.0)
+        return table_of(*_select(ids, x, weight, size, width)[:3])
 
     def merge(t: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([table_of(*_select(t["id"].to_numpy(), kernels.matrix(t["data"], dim), t["weight"].to_numpy(), size, width)[:3])])
+        return table_of(*_select(t["id"].to_numpy(), kernels.matrix(t["data"], dim), t["weight"].to_numpy(), size, width)[:3])
 
     def last(t: pa.Table) -> pa.Table:
         ids, _, _, gains = _select(t["id"].to_numpy(), kernels.matrix(t["data"], dim), t["weight"].to_numpy(), size, width)
         return pa.table({"id": pa.array(ids), "rank": pa.array(np.arange(1, len(ids) + 1, dtype=np.int32)), "gain": pa.array(gains)})
 
-    src = points.where("id is not null").select(F.col("id").cast("long").alias("id"), F.col("data").cast("array<float>").alias("data"))
-    src = src.join(weights(density_peaks(points, dim) if members is None else members), "id", "left").select("id", "data", F.coalesce("weight", F.lit(1.0)).alias("weight"))
-    core = materialize(src.mapInArrow(cores, _RAW), "core0")
-    n, rounds = core.count(), 0
-    while n > FAN_IN * size:
-        groups = -(-n // (FAN_IN * size))
+    def shard(df: DataFrame):
+        return df.groupBy(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("s"))
+
+    src = points.where("id is not null").select(F.col("id").cast("long").alias("id"), F.col("v") if ready else F.col("data").cast("array<float>").alias("data"))
+    heavy = weights(density_peaks(points, dim, n=n, singles=False) if members is None else members)
+    core = materialize(shard(src).cogroup(shard(heavy)).applyInArrow(core_set, _RAW), "core0")
+    left, rounds = core.count(), 0
+    while left > FAN_IN * size:
+        groups = -(-left // (FAN_IN * size))
         rounds += 1
         g = F.pmod(F.xxhash64(F.lit(rounds), "id"), F.lit(groups)).alias("g")
         core = materialize(core.groupBy(g).applyInArrow(merge, _RAW), f"core{rounds}")
-        n = core.count()
+        left = core.count()
         if groups == 1:
             break
     return core.groupBy(F.lit(0).alias("g")).applyInArrow(last, schema)

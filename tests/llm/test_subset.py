@@ -48,6 +48,12 @@ def test_large_groups_do_not_fill_the_subset(spark, monkeypatch):
     assert (hit > 0).sum() >= 28 and hit.max() <= 2
 
 
+def test_partitions_do_not_matter(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARD_ROWS", 100)
+    p = frame(spark, np.random.default_rng(8).standard_normal((400, 8)))
+    assert len({tuple(tuple(r) for r in S.varied_subset(p.repartition(k), 8, 15).orderBy("rank").select("id", "rank").collect()) for k in (1, 5)}) == 1
+
+
 def test_merging_in_several_rounds(spark, monkeypatch):
     monkeypatch.setattr(S, "SHARD_ROWS", 50)
     monkeypatch.setattr(S, "FAN_IN", 2)
