@@ -21,13 +21,13 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
     return current_usable(table(spark, d, "points"), DIM)
 
 
-def _groups(spark: SparkSession, d: str, singles: bool = False) -> DataFrame:
+def _groups(spark: SparkSession, d: str, singles: bool = False, packed: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """Density peaks over current usable points. Pivots come from a share of the labels, all versions of which are read, so they are current too."""
     raw = table(spark, d, "points")
-    n = raw.count()
+    n = raw.count() if n is None else n
     share = max(1, n // max(2 * SAMPLE_ROWS, 4 * n // CELL_ROWS))  # a few times as many points as are sampled
     some = current_usable(raw.where(F.pmod(F.xxhash64("label"), F.lit(share)) == 0), DIM)
-    return density_peaks(current_packed(raw, DIM), DIM, pivot_points=some, n=n, singles=singles)
+    return density_peaks(current_packed(raw, DIM) if packed is None else packed, DIM, pivot_points=some, n=n, singles=singles)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +64,8 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 def _subset(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "points")
-    return varied_subset(current_packed(raw, DIM), DIM, members=_groups(spark, d), n=raw.count())
+    packed, n = current_packed(raw, DIM), raw.count()
+    return varied_subset(packed, DIM, members=_groups(spark, d, packed=packed, n=n), n=n)
 
 
 def p5_subset(spark: SparkSession, d: str) -> DataFrame:
