@@ -2,7 +2,8 @@
 
 Repeated rows are reduced before the first shuffle (a partial aggregate per key), so a key that holds a third of all
 rows arrives as a few rows. Both sides are then cogrouped by hash bucket as Arrow tables; inside a bucket keys are
-aligned by sorted search and every column is compared by one vectorised, null-aware mask. Only masked cells leave.
+aligned by sorted search and every column is compared by one vectorised, null-aware mask. Only masked cells leave. Keys that
+have several different rows on a side are only named there; their sets of values are compared afterwards, value by value.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.session import parallelism
+from nearfield.session import materialize, parallelism
 
 #: Rows of both sides in one bucket, about; it bounds the memory of a task.
 BUCKET_ROWS = 40_000
+#: Stands for a field in the rows of compare_bucket that only name a key with several different rows.
+SEVERAL = ""
 
 
 def equal_mask(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -56,7 +59,7 @@ def _text(column: pa.ChunkedArray, at: np.ndarray) -> pa.Array:
 
 
 def compare_bucket(left: pa.Table, right: pa.Table, fields: list[str], values: bool) -> pa.Table:
-    """The differing cells of one bucket. Each side has a row per key: _k, the fields, and _hi where a key has several rows."""
+    """The differing cells of one bucket. Each side has a row per key: _k, the fields, and _several if the key has different rows, which are not compared here."""
     sides = []
     for t in (left, right):
         t = t.combine_chunks().sort_by("_k")
@@ -80,18 +83,12 @@ def compare_bucket(left: pa.Table, right: pa.Table, fields: list[str], values: b
     emit(ka[~hit], "only_first")
     emit(kb[alone], "only_second")
     ia, ib = np.nonzero(hit)[0], at[hit]
+    several = a["_several"].take(pa.array(ia)).to_numpy() | b["_several"].take(pa.array(ib)).to_numpy()
+    emit(ka[ia[several]], SEVERAL)
+    ia, ib = ia[~several], ib[~several]
     ta, tb = a.take(pa.array(ia)), b.take(pa.array(ib))
-    several = np.nonzero(ta["_hi"].is_valid().to_numpy() | tb["_hi"].is_valid().to_numpy())[0]
     for f in fields:
-        same = equal_mask(ta[f], tb[f])
-        if len(several):
-            pick = pa.array(several)
-            top = []
-            for t in (ta, tb):
-                hi, lo = t["_hi"].take(pick).combine_chunks(), t[f].take(pick).combine_chunks()
-                top.append(pc.if_else(hi.is_valid(), pc.struct_field(hi, f), lo))
-            same[several] &= equal_mask(*top)
-        off = np.nonzero(~same)[0]
+        off = np.nonzero(~equal_mask(ta[f], tb[f]))[0]
         if len(off):
             emit(ka[ia[off]], f, *((_text(ta[f], off), _text(tb[f], off)) if values else ()))
     names = ["_k", "diff", "first", "second"]
@@ -102,23 +99,30 @@ def diff_tables(first: DataFrame, second: DataFrame, key: str, fields: list[str]
     """table_name, row_key, diff (only_first, only_second or a field's name), and with values=True both values as text.
 
     A row per differing cell. Rows that repeat count once. A null key is a key like any other, and row_key is null for it.
-    Where a side has several different rows of one key, its least and its greatest row (by the fields in order) are
-    compared. Columns other than key and fields don't matter, whatever their names. Empty tables are fine.
+    Where a side has several different rows of one key, a field differs if the two sides don't hold the same set of values in it; there is no one value to
+    show then, and first and second are null. Columns other than key and fields don't matter, whatever their names. Empty tables are fine.
     """
     spark = first.sparkSession
     n = first.count() + second.count()
     buckets = max(parallelism(spark), -(-n // BUCKET_ROWS))
 
+    def tagged(df: DataFrame) -> DataFrame:
+        return df.select(F.coalesce(F.concat(F.lit("v"), F.col(key).cast("string")), F.lit("n")).alias("_k"), F.struct(*[F.col(f) for f in fields]).alias("_row"))
+
     def side(df: DataFrame) -> DataFrame:
-        row = F.struct(*[F.col(f) for f in fields])
-        tagged = df.select(F.coalesce(F.concat(F.lit("v"), F.col(key).cast("string")), F.lit("n")).alias("_k"), row.alias("_row"))
-        one = tagged.groupBy("_k").agg(F.min("_row").alias("_lo"), F.max("_row").alias("_hi"))
-        hi = F.when(~F.col("_lo").eqNullSafe(F.col("_hi")), F.col("_hi"))
-        return one.select(F.pmod(F.xxhash64("_k"), F.lit(buckets)).cast("int").alias("_b"), "_k", *[F.col(f"_lo.{f}").alias(f) for f in fields], hi.alias("_hi"))
+        one = tagged(df).groupBy("_k").agg(F.min("_row").alias("_lo"), F.max("_row").alias("_hi"))
+        return one.select(F.pmod(F.xxhash64("_k"), F.lit(buckets)).cast("int").alias("_b"), "_k", *[F.col(f"_lo.{f}").alias(f) for f in fields], (~F.col("_lo").eqNullSafe(F.col("_hi"))).alias("_several"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         return compare_bucket(left, right, fields, values)
 
-    cells = side(first).groupBy("_b").cogroup(side(second).groupBy("_b")).applyInArrow(compare, "_k string, diff string, first string, second string")
-    out = cells.select(F.lit(name).alias("table_name"), F.when(F.col("_k") != "n", F.expr("substring(_k, 2)")).alias("row_key"), "diff", "first", "second")
+    cells = materialize(side(first).groupBy("_b").cogroup(side(second).groupBy("_b")).applyInArrow(compare, "_k string, diff string, first string, second string"), "cells")
+    several, out = cells.where(F.col("diff") == SEVERAL).select("_k"), cells.where(F.col("diff") != SEVERAL)
+    if not several.isEmpty():
+        sides = [tagged(df).join(several, "_k", "left_semi") for df in (first, second)]
+        for f in fields:  # the groups are values, so a key with many rows is spread
+            both = sides[0].select("_k", f"_row.{f}", F.lit(1).alias("_s")).unionAll(sides[1].select("_k", f"_row.{f}", F.lit(2)))
+            one_sided = both.groupBy("_k", f).agg(F.min("_s").alias("_a"), F.max("_s").alias("_b")).where("_a = _b").select("_k").distinct()
+            out = out.unionAll(one_sided.select("_k", F.lit(f).alias("diff"), F.lit(None).cast("string").alias("first"), F.lit(None).cast("string").alias("second")))
+    out = out.select(F.lit(name).alias("table_name"), F.when(F.col("_k") != "n", F.expr("substring(_k, 2)")).alias("row_key"), "diff", "first", "second")
     return out if values else out.drop("first", "second")

@@ -80,12 +80,13 @@ def entry_point(levels: DataFrame) -> DataFrame:
 def changed_nodes(before: DataFrame, after: DataFrame) -> DataFrame:
     """id, change: nodes added, removed, or whose edges differ between two versions. Repeated rows count once.
 
-    Rows are compared by the sorted set of edge lists of an id, after one aggregate per side on the id.
+    Of an id with several different rows the sets of rows are compared, by their number, their sum of hashes, and the least and the greatest.
     """
 
     def side(df: DataFrame, name: str) -> DataFrame:
         row = F.struct(*FIELDS)
-        return df.groupBy("id").agg(F.min(row).alias("lo"), F.max(row).alias("hi")).select("id", F.struct("lo", "hi").alias(name))
+        rows = df.select("id", *FIELDS).distinct().groupBy("id")
+        return rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*FIELDS).cast("decimal(38,0)")).alias("h"), F.min(row).alias("lo"), F.max(row).alias("hi")).select("id", F.struct("n", "h", "lo", "hi").alias(name))
 
     both = side(before, "b").join(side(after, "a"), "id", "full")
     change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "changed")

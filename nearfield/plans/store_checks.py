@@ -33,18 +33,20 @@ def p2_summary(spark: SparkSession, d: str) -> DataFrame:
     return store_diff(spark, d).groupBy("table_name", "diff").agg(F.count("*").alias("n"))
 
 
-def store_orphans(spark: SparkSession, d: str) -> DataFrame:
+def store_orphans(spark: SparkSession, d: str, max_rounds: int | None = None) -> DataFrame:
     nodes, removed = table(spark, d, "store_nodes"), table(spark, d, "removed_indexes")
-    held = materialize(edge_references(nodes), "references")
+    held = edge_references(nodes)
+    if max_rounds != 0:
+        held = materialize(held, "references")
     listed = key_references(removed, "index_id", "removed_indexes", "removed_at")
     gone = removed.select(F.col("index_id").alias("id"))
     direct = direct_orphans(held.unionByName(listed), nodes.select("id", "saved_at"), gone, missing_only=("removed_indexes",))
-    return orphan_cascade(held, direct, "store_nodes")
+    return orphan_cascade(held, direct, "store_nodes", max_rounds)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Every dangling reference: the rows of the cascade that are orphaned directly."""
-    return store_orphans(spark, d).where("depth = 0").select("ref_table", "ref_id", "ref_field", "target_id", "reason").distinct()
+    """Every dangling reference: the step of the cascade that finds those orphaned directly; the rounds of inheritance add none."""
+    return store_orphans(spark, d, max_rounds=0).select("ref_table", "ref_id", "ref_field", "target_id", "reason").distinct()
 
 
 def p4_cascade(spark: SparkSession, d: str) -> DataFrame:
@@ -85,10 +87,13 @@ direct AS (
   SELECT 'store_nodes' AS ref_table, ref_id, ref_field, target_id, ref_time, reason FROM judged WHERE reason IS NOT NULL
   UNION ALL SELECT DISTINCT 'removed_indexes', CAST(index_id AS BIGINT), 'index_id', CAST(index_id AS BIGINT), removed_at, 'missing' FROM removed_indexes WHERE index_id IS NOT NULL AND index_id NOT IN (SELECT id FROM store_nodes WHERE id IS NOT NULL))"""
 
-_REACH = """reach AS (
-  SELECT DISTINCT ref_id AS id, 0 AS depth FROM direct WHERE ref_table = 'store_nodes'
-  UNION SELECT DISTINCT r.ref_id, reach.depth + 1 FROM reach JOIN refs r ON r.target_id = reach.id WHERE reach.depth < 12 AND r.ref_id <> r.target_id),
-depths AS (SELECT id, min(depth) AS depth FROM reach GROUP BY id)"""
+_REACH = """depths(id, depth) USING KEY (id) AS (
+  SELECT DISTINCT ref_id, 0 FROM direct WHERE ref_table = 'store_nodes'
+  UNION SELECT r.ref_id, min(d.depth) + 1 FROM depths d JOIN refs r ON r.target_id = d.id WHERE r.ref_id NOT IN (SELECT id FROM recurring.depths) GROUP BY r.ref_id)"""
+
+_REPORT = """inherited AS (SELECT r.ref_id, min({'t': r.target_id, 'f': r.ref_field, 's': r.saved_at}) AS m FROM refs r JOIN depths a ON a.id = r.ref_id JOIN depths b ON b.id = r.target_id WHERE a.depth > 0 AND b.depth = a.depth - 1 GROUP BY 1),
+lines AS (SELECT ref_table, ref_time, reason FROM direct UNION ALL SELECT 'store_nodes', m.s, 'inherited' FROM inherited)
+SELECT ref_table, strftime(ref_time, '%Y-%m') AS month, reason, count(*) AS n FROM lines GROUP BY ALL"""
 
 _CELLS = "SELECT table_name, diff, count(*) AS n FROM ({}) GROUP BY 1, 2"
 
@@ -97,4 +102,5 @@ ORACLES = {
     "p2_summary": _CELLS.format(_diff_sql()),
     "p4_found": f"WITH {_REFS} SELECT DISTINCT ref_table, ref_id, ref_field, target_id, reason FROM direct",
     "p4_cascade": f"WITH RECURSIVE {_REFS}, {_REACH} SELECT 'store_nodes' AS ref_table, id AS ref_id, CAST(depth AS INTEGER) AS depth FROM depths UNION ALL SELECT DISTINCT ref_table, ref_id, 0 FROM direct WHERE ref_table <> 'store_nodes'",
+    "p4_report": f"WITH RECURSIVE {_REFS}, {_REACH}, {_REPORT}",
 }

@@ -47,11 +47,13 @@ def test_difference_of_empty_tables_and_values(spark):
     assert (r["diff"], r["first"], r["second"]) == ("id", "1", "2")
 
 
-def test_several_rows_of_a_key_compare_by_least_and_greatest(spark):
+def test_several_rows_of_a_key_compare_as_sets(spark):
     rows = lambda *v: spark.createDataFrame([("k", i, [1.0], None) for i in v], POINT)
     assert cells(diff_tables(rows(1, 2), rows(2, 1), "label", ["id"], "p")) == []
     assert cells(diff_tables(rows(1, 2), rows(1, 3), "label", ["id"], "p")) == [("k", "id")]
     assert cells(diff_tables(rows(1, 2), rows(1), "label", ["id"], "p")) == [("k", "id")]
+    assert cells(diff_tables(rows(1, 2, 3), rows(1, 3), "label", ["id", "data"], "p")) == [("k", "id")]
+    assert cells(diff_tables(rows(1, 2, 3, 3), rows(3, 2, 1), "label", ["id", "data"], "p", values=True)) == []
 
 
 def test_a_hot_key_is_reduced_before_the_shuffle(spark):
