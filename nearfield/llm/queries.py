@@ -51,14 +51,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The 10 points nearest to each probe, as pairs with the smaller id first."""
     probes = table(spark, d, "probes").select("label").distinct()
     queries = current_usable(table(spark, d, "points").join(probes, "label", "left_semi"), DIM)
-    near = similar_vectors(_points(spark, d), queries, 10, DIM)
+    near = similar_vectors(current_packed(table(spark, d, "points"), DIM), queries, 10, DIM)
     return near.select(F.least("query_id", "id").alias("id_a"), F.greatest("query_id", "id").alias("id_b")).distinct()
 
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The 10 points nearest to every point whose id is divisible by 20, against all points, with distances."""
     queries = current_usable(table(spark, d, "points").where("id % 20 = 0"), DIM)
-    near = similar_vectors(_points(spark, d), queries, 10, DIM)
+    near = similar_vectors(current_packed(table(spark, d, "points"), DIM), queries, 10, DIM)
     return near.select("query_id", "id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 

@@ -36,7 +36,7 @@ def test_recall_against_brute_force(spark):
     x = clustered(4000, 32)
     p = frame(spark, x)
     q = p.where("id % 20 = 0")
-    near = {(r["query_id"], r["id"]) for r in Fo.similar_vectors(p, q, 10, 32, candidates=800).collect()}
+    near = {(r["query_id"], r["id"]) for r in Fo.similar_vectors(p, q, 10, 32, recall=0.95).collect()}
     exact = {(r["query_id"], r["id"]) for r in K.knn(p, q, 10, 32, drop_self=True).collect()}
     assert len(near) == len(exact) == 2000
     assert len(near & exact) / len(exact) >= 0.9
@@ -76,7 +76,7 @@ def test_a_third_of_all_points_are_copies():
     x = clustered(3000, 16)
     x[:1000] = x[0]
     ids = np.arange(3000)
-    q, i, d = Fo.search_shard(ids, x.astype(float), ids[:3], x[:3].astype(float), 5, 8, 400, 1, True)
+    q, i, d = Fo.search_shard(ids, x.astype(float), ids[:3], x[:3].astype(float), None, 5, 8, 0.9, 1, True)
     for k in range(3):
         assert (d[q == k] < 1e-12).all() and sorted(i[q == k]) == [j for j in range(6) if j != k][:5]
 
@@ -86,9 +86,29 @@ def test_several_shards_merge(spark, monkeypatch):
     x = clustered(1500, 16)
     p = frame(spark, x)
     q = p.where("id < 20")
-    near = {(r["query_id"], r["id"]) for r in Fo.similar_vectors(p, q, 5, 16).collect()}
     exact = {(r["query_id"], r["id"]) for r in K.knn(p, q, 5, 16, drop_self=True).collect()}
-    assert near == exact  # shards smaller than the candidates are searched whole
+    near = {(r["query_id"], r["id"]) for r in Fo.similar_vectors(p, q, 5, 16).collect()}
+    assert len(near & exact) >= 0.9 * len(exact)
+    assert {(r["query_id"], r["id"]) for r in Fo.similar_vectors(p, q, 5, 16, recall=1).collect()} == exact
+
+
+def test_queries_in_dense_places_open_short_ranges():
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.standard_normal(32) + 0.05 * rng.standard_normal((200, 32)), rng.standard_normal((8000, 32))]).astype(float)
+    q, opened = np.r_[:40, 4000:4040], []
+    first = Fo.search_shard(np.arange(len(x)), x, q, x[q], None, 10, Fo.TREES, Fo.RECALL, 1, True)
+    kth = np.array([np.sort(first[2][first[0] == i])[9:10].sum() or np.nan for i in q])
+    ids, near, dist = Fo.search_shard(np.arange(len(x)), x, q, x[q], kth, 10, Fo.TREES, Fo.RECALL, 1, True, opened)
+    sizes = np.concatenate(opened)
+    assert sizes[:40].max() < 0.3 * len(x) and sizes[40:].min() > np.median(sizes[:40])
+    assert (dist <= kth[np.searchsorted(q, ids)] + 1e-9).all()
+
+
+def test_prefix_needed_for_a_distance():
+    got = Fo.needed_prefix(np.array([0.0, 0.01, 0.4, np.nan]), 24, 0.97)
+    assert got[0] == 64 and got[0] > got[1] > got[2] > got[3] == 0
+    same = 1 - np.arccos(1 - 0.01) / np.pi
+    assert 1 - (1 - same ** got[1]) ** 24 >= 0.97 > 1 - (1 - same ** (got[1] + 1)) ** 24
 
 
 def test_null_ids_take_no_part(spark):
