@@ -26,7 +26,7 @@ BITS = 64
 #: Trees of a forest, and candidates per query and shard with which the descent is content.
 TREES, FIRST = 24, 64
 #: Probability with which a neighbour is to be among the candidates.
-RECALL = 0.97
+RECALL = 0.998
 #: Share of a shard from which on a query reads all of it: gathering so many single rows would take longer.
 ROOT_SHARE = 1 / 16
 #: Rows of a shard: bounds the memory of a task. A task with more rows builds several forests.
