@@ -16,11 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm import markup
+from nearfield.session import materialize
 
 #: Consecutive words that make a leak.
 MIN_WORDS = 12
 #: Words of documents in one suffix array: bounds the memory of a task.
 SHARD_WORDS = 2_000_000
+#: Occurrences of passage suffixes looked at together in a shard.
+MATCHES = 2_000_000
 #: Passages sent to the tasks at once: the bound of what is broadcast.
 ITEM_BLOCK = 20_000
 
@@ -97,7 +100,6 @@ def match_shard(runs: list[tuple[int, int, np.ndarray]], p: Passages) -> list[tu
         return []
     sizes = np.array([len(r[2]) + 1 for r in runs], np.int64)
     text = np.concatenate([np.append(r[2], 0) for r in runs]).astype(np.int32)
-    n = len(text)
     padded = np.concatenate([text, np.zeros(max(m, p.longest) + 1, np.int32)])
     order = suffix_array(text, p.longest)
     wanted = p.array[p.starts[:, None] + np.arange(m)]
@@ -105,12 +107,16 @@ def match_shard(runs: list[tuple[int, int, np.ndarray]], p: Passages) -> list[tu
     hits = last - first
     if not hits.sum():
         return []
-    q = np.repeat(p.starts, hits)
-    offset = np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits)
-    t = order[np.repeat(first, hits) + offset]
-    before_q, before_t = p.array[np.maximum(q - 1, 0)], padded[np.maximum(t - 1, 0)]
-    maximal = (q == 0) | (t == 0) | (before_q != before_t) | (before_q == 0)
-    q, t = q[maximal], t[maximal]
+    found_q, found_t = [], []
+    cuts = np.unique(np.searchsorted(np.cumsum(hits), np.arange(0, hits.sum() + MATCHES, MATCHES), "right"))
+    for a, b in zip(cuts[:-1], cuts[1:]):  # a bounded number of occurrences at once; those that continue another are dropped at once
+        n = hits[a:b]
+        q = np.repeat(p.starts[a:b], n)
+        t = order[np.repeat(first[a:b], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        before_q, before_t = p.array[np.maximum(q - 1, 0)], padded[np.maximum(t - 1, 0)]
+        maximal = (q == 0) | (t == 0) | (before_q != before_t) | (before_q == 0)
+        found_q.append(q[maximal]), found_t.append(t[maximal])
+    q, t = np.concatenate(found_q), np.concatenate(found_t)
     length = np.full(len(q), m, np.int64)
     grow = np.arange(len(q))
     while len(grow):
@@ -126,7 +132,6 @@ def match_shard(runs: list[tuple[int, int, np.ndarray]], p: Passages) -> list[tu
         doc, pos, _ = runs[r]
         o = p.owner[qi]
         out.append((doc, p.items[o], int(pos + ti - begin[r]), int(qi - item_begin[o]), int(k)))
-    assert n == sizes.sum()
     return out
 
 
@@ -135,33 +140,35 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORD
 
     Texts and passages are compared as a reader sees them (see markup.words); captions and arguments of templates that show nothing in
     place are searched by themselves, and doc_word counts on through them behind the running text. Items with the same passage are all reported. Null or
-    short passages and null or empty texts match nothing; repeated rows repeat their matches. Passages go out in blocks of
-    ITEM_BLOCK; documents are read where they lie, whole, without a shuffle.
+    short passages and null or empty texts match nothing; repeated rows repeat their matches. Documents are read where they lie, whole, without a shuffle. Passages go out in blocks of
+    ITEM_BLOCK; with several, the words of the documents are cut and written once, and each block is finished and released before the next.
     """
     spark = documents.sparkSession
+    names, kinds = ["doc_id", "item_id", "doc_word", "item_word", "n_words"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
     schema = "doc_id long, item_id long, doc_word int, item_word int, n_words int"
     wanted = items.where("passage is not null").select(F.col("item_id").cast("long").alias("item_id"), "passage")
-    n = wanted.count()
-    blocks = max(1, -(-n // ITEM_BLOCK))
+    blocks = max(1, -(-wanted.count() // ITEM_BLOCK))
     src = documents.where("text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for b in range(blocks):
-        part = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == b)
-        rows = part.toArrow()
-        sent = spark.sparkContext.broadcast(Passages(rows["item_id"].to_pylist(), rows["passage"].to_pylist(), min_words))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 256):
+                part = b.slice(s, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([markup.passages(t) for t in part.column(1).to_pylist()], pa.list_(pa.list_(pa.string())))], ["doc_id", "words"])
+
+    def search(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = sent.value
 
             def flush(runs):
                 cols = list(zip(*match_shard(runs, p))) or [[]] * 5
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], schema=pa.schema(list(zip(("doc_id", "item_id", "doc_word", "item_word", "n_words"), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())))))
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
             runs, held = [], 0
             for batch in batches:
                 for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     begin = 0
-                    for words in markup.passages(t):
+                    for words in t if blocks > 1 else markup.passages(t):
                         for pos, v in known_runs(words, p.vocabulary, min_words):
                             runs.append((d, begin + pos, v))
                             held += len(v) + 1
@@ -171,7 +178,18 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORD
                         runs, held = [], 0
             yield flush(runs)
 
-        found = src.mapInArrow(run, schema)
+        return run
+
+    if blocks > 1:
+        src = materialize(src.mapInArrow(cut, "doc_id long, words array<array<string>>"), "words")
+    out = None
+    for b in range(blocks):
+        rows = (wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == b)).toArrow()
+        sent = spark.sparkContext.broadcast(Passages(rows["item_id"].to_pylist(), rows["passage"].to_pylist(), min_words))
+        found = src.mapInArrow(search(sent), schema)
+        if blocks > 1:
+            found = materialize(found, "leaks")
+            sent.destroy()
         out = found if out is None else out.unionAll(found)
     return out
 

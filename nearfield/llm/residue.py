@@ -27,7 +27,9 @@ PLACEHOLDERS = {
     "double_brace": re.compile(r"\{\{\s+[\w.]+(?:\s*\|[^{}]*)?\s*\}\}|\{\{[a-z_]+\.[\w.]+[^{}]*\}\}", I),
     "statement": re.compile(r"\{%.*?%\}|<%.*?%>", re.S),
     "dollar_brace": re.compile(r"[$#]\{[^{}\n]+\}"),
-    "brace": re.compile(r"(?<![{$#])\{(?:\d{1,2}|[a-z_][\w.]*(?::[^{}\s]*)?)\}(?!\})", I),
+    "brace": re.compile(r"(?<![{$#])\{(?:\d{1,2}|[a-z_][\w.]+(?::[^{}\s]*)?)\}(?!\})", I),
+    "merge": re.compile(r"\*\|[A-Z_][A-Z_0-9:]*\|\*|«[^\W\d_]+_\w+»|\[(?:first|last|full|user|company|client|customer|recipient|sender|product|event|city|street|job)[ _-](?:name|address|number|title|date|id)\]", I),
+    "printf": re.compile(r"(?<![\w%])(?<!\d )%(?:\d\$)?[sd]\b"),
     "percent": re.compile(r"(?<![\w%])%[A-Z][A-Z_0-9]+%(?!\w)", I),
     "dollar": re.compile(r"(?<![\w$])\$[A-Z][A-Z_]{2,}\b"),
     "at": re.compile(r"@@?[A-Z][A-Z_0-9]+@@?(?!\w)", I),
@@ -49,15 +51,15 @@ GAP = re.compile(r"\b(?:is|was|ist|war|est|es|fue)\s+(?:an?|the|eine?|une?|una)\
 FILLER = re.compile(
     r"\blorem ipsum\b|\bdolor sit amet\b|\b(?:text,? ){3,}text\b|\b(?:sample|dummy|filler|placeholder|example) (?:paragraph|content|text)\b(?! (?:is|was|are|often|to|for|in|of)\b)|\bthis is (?:placeholder|dummy|sample|filler) text|\bcaption for image \d|"
     r"\byour text (?:goes )?here\b|\b(?:bold|italic|headline) text\b|\blist item\b|\bnumbered entry\b|\binsert (?:formula|non-formatted text) here\b|\btodo\s*:|\bfixme\s*:|\bhier steht (?:später )?(?:ein )?(?:blind|platzhalter)?text\b|\bblindtext\b.*\bersetz|\bplatzhaltertext\b|"
-    r"\btexte? (?:provisoire|de remplissage)\b|\bfaux texte\b|\btexto (?:de relleno|provisional|de ejemplo)\b|\bтекст-заполнитель|\bздесь (?:будет|должен быть) текст|\bобразец текста",
+    r"\bsed ut perspiciatis\b|\bat vero eos et\b|\bnemo enim ipsam\b|\b(?:content|copy|description) goes here\b|\b(?:enter|type|add|paste) (?:your |some )?text here\b|\bclick (?:here )?to (?:edit|add) (?:this |your )?text\b|\breplace this text\b|\btexte? (?:provisoire|de remplissage)\b|\bfaux texte\b|\btexto (?:de relleno|provisional|de ejemplo)\b|\bтекст-заполнитель|\bздесь (?:будет|должен быть) текст|\bобразец текста",
     I,
 )
 ERROR = re.compile(
     r"\b(?:40[0-9]|41[0-9]|42[0-9]|50[0-9])\b[\s:–-]*(?:not found|bad (?:gateway|request)|forbidden|unauthorized|service (?:temporarily )?unavailable|gateway time-?out|internal server error|too many requests|servicio no disponible|gone)|"
-    r"\b(?:error|fehler|erreur|ошибка|código|code|код)\s*(?:n[.o°]*\s*)?\d{3,5}\b|\b(?:query |internal |fatal |server |database |syntax |runtime )error\b.*\b(?:occurred|at line|in)\b|\berror has occurred\b|\ban? (?:unexpected|unknown) error\b|\bbug in the software\b|\btechnical difficulties\b|"
+    r"\b(?:error|fehler|erreur|ошибка)\s*(?:n[.o°]*\s*)?\d{3,5}\b|\b(?:error|status|http|fehler|código(?: de error)?|code(?: d'erreur)?|код(?: ошибки)?)\W{0,3}(?:code\W{0,3})?[45]\d\d\b|\b(?:query |internal |fatal |server |database |syntax |runtime )error\b.*\b(?:occurred|at line|in)\b|\berror has occurred\b|\ban? (?:unexpected|unknown) error\b|\bbug in the software\b|\btechnical difficulties\b|"
     r"\bcannot access the database\b|\bcould not be (?:rendered|loaded|displayed)\b|\binternal server error\b|\bzeitüberschreitung\b|\bderzeit nicht erreichbar\b|\berreur interne\b|n'a pas pu être affichée?\b|\bno se puede mostrar\b|\bservicio no disponible\b|\bвременно недоступн|\bвнутренняя ошибка\b|"
     r"\baccess denied\b|\bdo not have permission to\b|\btoo many requests\b|\b(?:page|revision|file|article)\b.{0,80}\b(?:does not|doesn't) exist\b|\bmissingtitle\b|\btraceback \(most recent call last\)|^\s*file \".+\", line \d+|^\s*\w*(?:error|exception)\s*:\s*'|\blua error\b|\bexpression error\b|\bunrecognized word\b|"
-    r"\bwas not found on this server\b|\bno valid reply\b|\bbad gateway\b|\"error\"\s*:\s*\{",
+    r"\bwas not found on this server\b|\b(?:down|offline|closed|unavailable) for (?:\w+ )?maintenance\b|\bERR_[A-Z_]+\b|\bDNS_PROBE_\w+|\bsite can(?:'|no)t be reached\b|\bconnection (?:has )?(?:timed out|was refused|was reset)\b|\bpage (?:cannot|could not|can't) be (?:found|displayed)\b|\bpage not found\b|\bseite (?:wurde )?nicht gefunden\b|\bpágina no encontrada\b|\bpage (?:introuvable|non trouvée)\b|\bстраница не найдена\b|\bundefined (?:index|variable|offset)\b\s*:|\bsegmentation fault\b|\bno valid reply\b|\bbad gateway\b|\"error\"\s*:\s*\{",
     I,
 )
 _SCRIPT_WORD = r"(?:java\s?scripts?|scripts?|scripting|script blocking|скрипт\w*)"

@@ -168,3 +168,47 @@ def test_every_rule_finds_its_literals_in_generated_matches(rule):
         assert R.rules_of(text) & bit
 
     run()
+
+
+@pytest.mark.parametrize("text", [
+    "Dear *|FNAME|*, welcome to *|COMPANY|*.",
+    "[First Name] [Last Name] was born in the town.",
+    "Sed ut perspiciatis unde omnis iste natus error sit voluptatem.",
+    "Our site is down for maintenance.",
+    "ERR_CONNECTION_TIMED_OUT",
+    "This site can't be reached.",
+    "Hello %s, you have %d messages.",
+    "Content goes here.",
+    "HTTP 503 Service Unavailable",
+    "Status code: 502",
+    "Seite nicht gefunden",
+    "Página no encontrada.",
+    "Dear «FIRST_NAME», your order has shipped.",
+    "{{ page.title }} is a village.",
+    "Hello {name}, welcome.",
+    "Please enable JavaScript to view this page.",
+    "Undefined index: id in /var/www/x.php on line 3",
+    "Страница не найдена",
+    "Hello ${user.name}!",
+    "Click here to edit this text.",
+])
+def test_residue_of_other_systems(text):
+    assert R.judge(text, 0)
+
+
+@pytest.mark.parametrize("text", [
+    "In set notation {x} is a singleton.",
+    "The code 4711 stands for a perfume from Cologne.",
+    "The error of 1066 was to wait.",
+    "In 1404 not far from here the castle was built.",
+    "The town has a page in the book of 1503.",
+    "He earned 50 %s of the shares [sic].",
+    "JavaScript is a programming language.",
+    "The lorem ipsum text is derived from Cicero's De finibus, a treatise on ethics, and printers have used it for centuries as dummy copy; this article explains its history in depth and its later use.",
+    "The museum is open daily and closed on Mondays.",
+    "The band released an album called 404 in 2009.",
+    "The router {a, b} is in use.",
+    "Route 404 was found to be closed in winter.",
+])
+def test_mentions_are_no_residue(text):
+    assert not R.judge(text, 0)
