@@ -32,8 +32,17 @@ def _cos(a, b):
 SCALAR = {"cosine": _cos, "unit_cosine": lambda a, b: 1.0 - (a * b).sum(), "sqeuclidean": lambda a, b: ((a - b) ** 2).sum(), "euclidean": lambda a, b: np.sqrt(((a - b) ** 2).sum())}
 
 
-def block(name: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+def known(metric) -> None:
+    """Raise unless a metric has a numpy form: a name in SCALAR, or an object with a kernel (see vectors.CustomMetric)."""
+    if metric not in SCALAR if isinstance(metric, str) else not callable(getattr(metric, "kernel", None)):
+        raise ValueError(f"no numpy form of metric {metric!r}; known: {', '.join(SCALAR)}, or a CustomMetric")
+
+
+def block(name, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Distances of every row of q to every row of x by matrix product, good to about 1e-13 in double precision."""
+    known(name)
+    if not isinstance(name, str):
+        return np.asarray(name.kernel(q, x), np.float64)
     g = q @ x.T
     if name == "unit_cosine":
         return 1.0 - g
@@ -45,8 +54,11 @@ def block(name: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(s) if name == "euclidean" else s
 
 
-def rowwise(name: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+def rowwise(name, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Distance of row i of q to row i of x. Equal rows give bit-equal distances, so ties are real ties."""
+    known(name)
+    if not isinstance(name, str):
+        return np.array([name.kernel(q[i : i + 1], x[i : i + 1])[0, 0] for i in range(len(q))], np.float64)
     if name in ("sqeuclidean", "euclidean"):
         s = ((q - x) ** 2).sum(axis=1)
         return np.sqrt(s) if name == "euclidean" else s

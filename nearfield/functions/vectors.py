@@ -6,6 +6,7 @@ Null arrays give null; arrays of different length give null (zip_with pads with
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,18 @@ def euclidean(a: Column, b: Column) -> Column:
 METRICS: dict[str, Callable[[Column, Column], Column]] = {"cosine": cosine, "unit_cosine": unit_cosine, "sqeuclidean": sqeuclidean, "euclidean": euclidean}
 
 
+@dataclass(frozen=True)
+class CustomMetric:
+    """A metric of the caller's: column, a function of two Columns, for declarative plans, and kernel, which gives the distances of all rows of one matrix to
+    all rows of another as a matrix, for neighbours by blocks and for graphs. Both must agree."""
+
+    column: Callable[[Column, Column], Column]
+    kernel: Callable
+
+    def __call__(self, a: Column, b: Column) -> Column:
+        return self.column(a, b)
+
+
 def metric(name_or_function) -> Callable[[Column, Column], Column]:
     """A metric by name, or any function of two Columns (a pandas_udf too) as it is."""
     if callable(name_or_function):

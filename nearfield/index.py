@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.operators import ann, graph
-from nearfield.operators.knn import knn, knn_plan, knn_vector
+from nearfield.operators.knn import knn, knn_vector
 from nearfield.operators.points import allocate_ids, latest, level, validate
 
 
@@ -39,6 +39,7 @@ class VectorIndex:
     removed: DataFrame | None = None
     bad_points: DataFrame | None = None
     nodes: DataFrame | None = None
+    shards: int = 0
 
     @classmethod
     def empty(cls, spark, dim: int, metric: str = "cosine", params: IndexParams = IndexParams(), payload: str = "") -> VectorIndex:
@@ -56,7 +57,7 @@ class VectorIndex:
         """Insert or replace points by label (columns label, data, payload). Of rows with one label the last by `order` counts, else the greatest vector.
 
         A label that is known keeps its id; others get removed ids in ascending order, then new ones. Unusable vectors go to bad_points and
-        don't touch a stored point of that label. The graph is dropped, as it no longer fits.
+        don't touch a stored point of that label. A graph is kept: replaced points leave it, new ones are linked into their shards.
         """
         rows = new.drop("id").where(F.col("label").isNotNull())
         rows = latest(rows, "label", order or "data")
@@ -70,7 +71,13 @@ class VectorIndex:
         points = kept.unionByName(known, allowMissingColumns=True).unionByName(given, allowMissingColumns=True)
         removed = self._removed().join(given.select("id"), "id", "left_anti")
         named = bad.select("label", "reason")
-        return replace(self, points=points, removed=removed, bad_points=named if self.bad_points is None else self.bad_points.unionByName(named).distinct(), nodes=None)
+        nodes = self.nodes
+        if nodes is not None:
+            p = self.params
+            changed = known.select("id", "label", "data").unionByName(given.select("id", "label", "data"))
+            stale = ann.remove_nodes(nodes, known.select("id"), self.dim, self.metric, p.max_edges)
+            nodes = ann.add_nodes(stale, changed, self.shards, self.dim, self._drawn(), self.metric, p.max_edges, p.max_candidates)
+        return replace(self, points=points, removed=removed, bad_points=named if self.bad_points is None else self.bad_points.unionByName(named).distinct(), nodes=nodes)
 
     batch_add = add
 
@@ -94,8 +101,6 @@ class VectorIndex:
 
     def query_batch(self, queries: DataFrame, k: int, where: Column | None = None, layer: int = 0, drop_self: bool = False) -> DataFrame:
         """query_id, id, distance, rank for a table of queries (id, data), exactly."""
-        if callable(self.metric):
-            return knn_plan(self._layer(layer), queries, k, self.metric, where, drop_self)
         return knn(self._layer(layer), queries, k, self.dim, self.metric, where, drop_self)
 
     def query_approximate(self, queries: DataFrame, k: int, where: Column | None = None, layer: int = 0, drop_self: bool = False) -> DataFrame:
@@ -104,13 +109,21 @@ class VectorIndex:
             raise ValueError("the index has no graph; call build() first")
         return ann.search_graph(self.nodes, queries, k, self.dim, self.metric, self.params.max_edges, self.params.min_nn, layer, drop_self, where)
 
+    def _drawn(self) -> Column:
+        return level(F.col("label"), self.params.random_seed, self.params.distribution_rate)
+
     def levels(self) -> DataFrame:
-        return self.points.select("id", level(F.col("label"), self.params.random_seed, self.params.distribution_rate).alias("level"))
+        """id and top layer of every point."""
+        return self.points.select("id", self._drawn().alias("level"))
+
+    def entry_point(self) -> DataFrame:
+        """id, level of the point with the most layers; no rows for an empty index."""
+        return graph.entry_point(self.levels())
 
     def _layer(self, layer: int) -> DataFrame:
         if layer <= 0:
             return self.points
-        drawn = level(F.col("label"), self.params.random_seed, self.params.distribution_rate)
+        drawn = self._drawn()
         top = self.points.agg(F.max(drawn)).first()[0]
         if top is None or layer > top:
             raise ValueError(f"layer {layer} doesn't exist; the top layer is {top}")
@@ -121,17 +134,19 @@ class VectorIndex:
         """With the layered graph, in shards."""
         p = self.params
         n = shards or ann.shard_count(self.count())
-        drawn = level(F.col("label"), p.random_seed, p.distribution_rate)
-        return replace(self, nodes=ann.build_graph(self.points, n, self.dim, drawn, self.metric, p.max_edges, p.max_candidates))
+        return replace(self, nodes=ann.build_graph(self.points, n, self.dim, self._drawn(), self.metric, p.max_edges, p.max_candidates), shards=n)
+
+    def _edges(self) -> DataFrame:
+        edges = "id long, out_edges array<array<long>>, in_edges array<array<long>>"
+        return self.spark.createDataFrame([], edges) if self.nodes is None else self.nodes.select("id", "out_edges", "in_edges")
 
     def info(self) -> DataFrame:
         """Nodes and degrees per layer; no rows without a graph."""
-        if self.nodes is None:
-            return graph.layer_info(self.spark.createDataFrame([], "id long, out_edges array<array<int>>, in_edges array<array<int>>"))
-        return graph.layer_info(self.nodes.select("id", "out_edges", "in_edges"))
+        return graph.layer_info(self._edges())
 
     def graph_layer(self, layer: int) -> DataFrame:
-        return graph.layer_adjacency(self.nodes.select("id", "out_edges", "in_edges"), layer)
+        """layer, id, neighbour of one layer; no rows without a graph or above its top layer."""
+        return graph.layer_adjacency(self._edges(), layer)
 
     # inspection
     def count(self) -> int:
@@ -141,8 +156,8 @@ class VectorIndex:
         return self.points
 
     def same_as(self, other: VectorIndex) -> bool:
-        """Same parameters, points (all columns) and removed ids, in any order."""
-        if self.params != other.params or sorted(self.points.columns) != sorted(other.points.columns):
+        """Same parameters, dimension, metric, points (all columns), removed ids and graph (edges of every node in order), in any order of rows."""
+        if (self.params, self.dim, self.metric) != (other.params, other.dim, other.metric) or sorted(self.points.columns) != sorted(other.points.columns):
             return False
-        tables = ((self.points, other.points.select(*self.points.columns)), (self._removed(), other._removed()))
+        tables = ((self.points, other.points.select(*self.points.columns)), (self._removed(), other._removed()), (self._edges(), other._edges()))
         return all(sum(graph.difference(a, b).first()) == 0 for a, b in tables)

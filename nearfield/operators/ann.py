@@ -34,6 +34,27 @@ def build_graph(points: DataFrame, shards: int, dim: int, level: Column, metric:
     return src.groupBy("shard").applyInArrow(run, NODES)
 
 
+def add_nodes(nodes: DataFrame, points: DataFrame, shards: int, dim: int, level: Column, metric="cosine", max_edges: int = 16, max_candidates: int = 1000) -> DataFrame:
+    """Nodes with further points (id, label, data; ids that are no node's yet), linked into the shards of their labels. Shards that get none come back as they are."""
+    key = F.pmod(F.xxhash64("label"), F.lit(shards)).cast("int")
+    none = F.lit(None).cast("array<array<long>>")
+    fresh = points.select(key.alias("shard"), F.col("id").cast("long").alias("id"), F.col("label").cast("string").alias("label"), F.col("data").cast("array<float>").alias("data"), none.alias("out_edges"), none.alias("in_edges"), level.cast("int").alias("_new"))
+    both = nodes.withColumn("_new", F.lit(None).cast("int")).unionByName(fresh)
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.combine_chunks().sort_by("id")
+        names = ["shard", "id", "label", "data", "out_edges", "in_edges"]
+        new = t["_new"].is_valid().to_numpy()
+        if not new.any():
+            return t.select(names)
+        old, more = t.filter(pa.array(~new)), t.filter(pa.array(new))
+        rows = hnsw.to_rows(hnsw.insert(_graph(old, dim, metric, max_edges), more["id"].to_numpy(), kernels.matrix(more["data"], dim, np.float64), more["_new"].to_numpy().astype(np.int64), max_candidates))
+        nested = pa.list_(pa.list_(pa.int64()))
+        return t.select(names[:4]).append_column("out_edges", pa.array([r[1] for r in rows], nested)).append_column("in_edges", pa.array([r[2] for r in rows], nested))
+
+    return both.groupBy("shard").applyInArrow(run, NODES)
+
+
 def _graph(t: pa.Table, dim: int, metric: str, max_edges: int) -> hnsw.ShardGraph:
     return hnsw.from_rows(t["id"].to_numpy(), kernels.matrix(t["data"], dim, np.float64), t["out_edges"].to_pylist(), metric, max_edges)
 

@@ -49,38 +49,54 @@ def diverse(g: ShardGraph, q: int, candidates: np.ndarray, keep: int) -> list[in
     candidates, d = candidates[order], d[order]
     if len(candidates) < keep:
         return candidates.tolist()
-    between = kernels.block(g.metric, g.x[candidates], g.x[candidates])
-    kept: list[int] = []
-    for i in range(len(candidates)):
-        if not kept or (between[kept, i] > d[i]).all():
-            kept.append(i)
-            if len(kept) == keep:
-                break
+    kept, open_ = [], np.ones(len(candidates), bool)
+    while len(kept) < keep and open_.any():
+        i = int(open_.argmax())
+        kept.append(i)
+        open_[: i + 1] = False
+        rest = np.nonzero(open_)[0]
+        open_[rest] = kernels.block(g.metric, g.x[candidates[i : i + 1]], g.x[candidates[rest]])[0] > d[rest]
     return candidates[kept].tolist()
 
 
+def _link(g: ShardGraph, layer: int, rows: np.ndarray, new: np.ndarray, max_candidates: int) -> None:
+    """Link the rows in new, members of the layer, with their best of max_candidates nearest members (rows), both ways; lists beyond the cap are chosen anew."""
+    cap, edges = g.cap(layer), g.out[layer]
+    width = min(len(rows) - 1, max(cap, max_candidates))
+    linked = {r: dict.fromkeys(bs) for r, bs in edges.items()} | {int(r): {} for r in new}
+    for s in range(0, len(new) if width > 0 else 0, 1024):
+        part = new[s : s + 1024]
+        d = kernels.block(g.metric, g.x[part], g.x[rows])
+        d[np.arange(len(part)), np.searchsorted(rows, part)] = np.inf
+        near = np.argpartition(d, width - 1, axis=1)[:, :width]
+        for q, c in zip(part.tolist(), near):
+            for b in diverse(g, q, rows[c], cap):
+                linked[q].setdefault(b)
+                linked[b].setdefault(q)
+    g.out[layer] = {r: list(bs) if len(bs) <= cap else diverse(g, r, np.fromiter(bs, np.int64), cap) for r, bs in linked.items()}
+
+
+def insert(g: ShardGraph, ids: np.ndarray, x: np.ndarray, level: np.ndarray, max_candidates: int = 1000) -> ShardGraph:
+    """The graph with further rows, in ascending order of id. Only lists of the new rows and of those they link to change. Ids must not be there yet."""
+    all_ids, n = np.concatenate([g.ids, ids]), len(g.ids)
+    order = np.argsort(all_ids, kind="stable")
+    at = np.empty(len(order), np.int64)
+    at[order] = np.arange(len(order))
+    out = ShardGraph(all_ids[order], np.concatenate([g.x, x.astype(np.float64)])[order], np.concatenate([g.level, level])[order], g.metric, g.max_edges)
+    out.out = [{int(at[r]): [int(at[b]) for b in bs] for r, bs in edges.items()} for edges in g.out]
+    for layer in range(int(out.level.max()) + 1 if len(out.ids) else 0):
+        if layer == len(out.out):
+            out.out.append({})
+        new = np.sort(at[n:][level >= layer])
+        if len(new):
+            _link(out, layer, np.nonzero(out.level >= layer)[0], new, max_candidates)
+    return out
+
+
 def build(ids: np.ndarray, x: np.ndarray, level: np.ndarray, metric: str = "cosine", max_edges: int = 16, max_candidates: int = 1000) -> ShardGraph:
-    g = ShardGraph(ids, x.astype(np.float64), level, metric, max_edges)
-    for layer in range(int(level.max()) + 1 if len(ids) else 0):
-        rows = np.nonzero(level >= layer)[0]
-        width = min(len(rows) - 1, max(4 * max_edges, min(max_candidates, 128)))
-        edges: dict[int, list[int]] = {int(r): [] for r in rows}
-        for s in range(0, len(rows), 1024):
-            part = rows[s : s + 1024]
-            if width <= 0:
-                continue
-            d = kernels.block(metric, g.x[part], g.x[rows])
-            d[np.arange(len(part)), np.arange(s, s + len(part))] = np.inf
-            near = np.argpartition(d, width - 1, axis=1)[:, :width]
-            for q, c in zip(part, near):
-                edges[int(q)] = diverse(g, int(q), rows[c], max_edges)
-        linked = {r: dict.fromkeys(bs) for r, bs in edges.items()}
-        for a, bs in edges.items():
-            for b in bs:
-                linked[b].setdefault(a)
-        cap = g.cap(layer)
-        g.out.append({r: list(bs) if len(bs) <= cap else diverse(g, r, np.fromiter(bs, np.int64), cap) for r, bs in linked.items()})
-    return g
+    """The graph of all rows, which are in ascending order of id: an empty one into which all are inserted at once."""
+    kernels.known(metric)
+    return insert(ShardGraph(np.zeros(0, np.int64), np.zeros((0, x.shape[1])), np.zeros(0, np.int64), metric, max_edges), ids, x, level, max_candidates)
 
 
 def descend(g: ShardGraph, q: np.ndarray, to_layer: int) -> int:

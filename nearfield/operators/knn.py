@@ -137,22 +137,37 @@ def exact_block(qid, q, ids, x, k: int, metric: str, drop_self: bool):
     return cat(out_q, np.int64), cat(out_i, np.int64), cat(out_d, np.float64)
 
 
-def knn(points: DataFrame, queries: DataFrame, k: int, dim: int, metric: str = "cosine", where: Column | None = None, drop_self: bool = False) -> DataFrame:
+def _best_of(found: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """The best k of each query of (query id, id, distance)."""
+    order = np.lexsort((found[1], found[2], found[0]))
+    found = [c[order] for c in found]
+    top = np.arange(len(order)) - np.searchsorted(found[0], found[0]) < k
+    return [c[top] for c in found]
+
+
+def knn(points: DataFrame, queries: DataFrame, k: int, dim: int, metric="cosine", where: Column | None = None, drop_self: bool = False) -> DataFrame:
     """query_id, id, distance, rank: the k nearest points of every query, exactly.
 
     points and queries have id and data; rows with a null id, a null element or another length than dim take no part.
-    Repeated rows count as often as they stand. Empty tables and k <= 0 give no rows.
+    Repeated rows count as often as they stand. Empty tables and k <= 0 give no rows. metric is a name or a vectors.CustomMetric; a function of Columns without a kernel
+    goes to knn_plan, an unknown name is a ValueError.
     """
+    metric_of(metric)
+    if not isinstance(metric, str) and not hasattr(metric, "kernel"):
+        return knn_plan(points, queries, k, metric, where, drop_self)
     src = points if where is None else points.where(where)
     src = src.select(F.col("id").cast("long").alias("id"), "data").where(F.col("id").isNotNull() & (F.size("data") == dim) & ~F.exists("data", lambda e: e.isNull()))
 
     def scan(sent: Broadcast) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qid, q = sent.value
+            kept = None  # the best so far, so that a task sends k rows per query, however many batches it reads
             for b in batches:
                 if b.num_rows:
                     got = exact_block(qid, q, b.column(0).to_numpy(zero_copy_only=False), kernels.matrix(b.column(1), dim, np.float64), k, metric, drop_self)
-                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in got], ["query_id", "id", "distance"])
+                    kept = got if kept is None else _best_of([np.concatenate(c) for c in zip(kept, got)], k)
+            if kept is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in kept], ["query_id", "id", "distance"])
 
         return run
 

@@ -134,8 +134,9 @@ def allocate_ids(new: DataFrame, free: DataFrame, next_id: int, key: str = "labe
 
 
 def level(key: Column, seed: int = 31337, rate: float = 1 / math.log(16)) -> Column:
-    """Layer of a point, floor(-ln(u) * rate), u in (0, 1] from a hash of its key, so it doesn't depend on the order of insertion."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 52)).cast("double") + 1.0) / float((1 << 52) + 1)
+    """Layer of a point, floor(-ln(u) * rate), u in (0, 1] from the first 32 bits of the MD5 of seed and key, so it doesn't depend on the order of insertion."""
+    digest = F.substring(F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string")).cast("binary")), 1, 8)
+    u = (F.conv(digest, 16, 10).cast("double") + 1.0) / float((1 << 32) + 1)
     return F.floor(-F.log(u) * rate).cast("int")
 
 

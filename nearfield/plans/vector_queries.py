@@ -293,12 +293,11 @@ def id_allocation(spark, d):
 
 
 # layers and graphs
-_LEVEL = "floor(-ln((((vec_id + 1) * 2654435761) % 4294967296 + 1) / 4294967297.0::DOUBLE) / ln(16::DOUBLE))::BIGINT"
+_LEVEL = "floor(-ln((('0x' || substr(md5('31337-' || vec_id::VARCHAR), 1, 8))::BIGINT + 1.0::DOUBLE) / 4294967297.0::DOUBLE) * (1 / ln(16::DOUBLE)))::BIGINT"
 
 
 def _levels(spark, d):
-    u = (((F.col("id") + 1) * 2654435761) % 4294967296 + 1).cast("double") / 4294967297.0
-    return embeddings(spark, d).withColumn("level", F.floor(-F.log(u) / F.log(F.lit(16.0))).cast("long"))
+    return VectorIndex(embeddings(spark, d), DIM).levels().select("id", F.col("level").cast("long").alias("level"))
 
 
 @query(f"SELECT vec_id AS id, {_LEVEL} AS level FROM embeddings")
@@ -315,14 +314,14 @@ def layer_histogram(spark, d):
 
 @query(f"SELECT vec_id AS id, {_LEVEL} AS level FROM embeddings ORDER BY 2 DESC, 1 LIMIT 1")
 def entry_point(spark, d):
-    return G.entry_point(_levels(spark, d).select("id", "level"))
+    return VectorIndex(embeddings(spark, d), DIM).entry_point().select("id", F.col("level").cast("long").alias("level"))
 
 
 @query(_knn_sql(f"{_E}, up AS (SELECT vec_id AS id, embedding AS data FROM embeddings WHERE {_LEVEL} >= 1)", "up", _Q20, 10))
 def knn_layer(spark, d):
     """Neighbours among the nodes of layer 1."""
     e = embeddings(spark, d)
-    return rounded(knn(_levels(spark, d).where("level >= 1"), every20(e), 10, DIM))
+    return rounded(VectorIndex(e, DIM).query_batch(every20(e), 10, layer=1))
 
 
 _EDGES = _knn_sql(_E, "e", "e", 16, drop_self=True)
@@ -408,7 +407,9 @@ def snapshot_roundtrip(spark, d):
 @query("SELECT count(*) AS n FROM embeddings")
 def node_count(spark, d):
     store, name = _stored(spark, d)
-    return spark.range(1).select(F.lit(store.node_count(name)).cast("long").alias("n"))
+    n = store.node_count(name)
+    store.drop(name)
+    return spark.range(1).select(F.lit(n).cast("long").alias("n"))
 
 
 @query("""SELECT (SELECT count(*) FROM (SELECT id, out_edges, in_edges FROM store_nodes EXCEPT ALL SELECT id, out_edges, in_edges FROM store_nodes_copy)) AS only_first,

@@ -13,22 +13,19 @@ from nearfield.sources.store import IndexStore
 def apply_changes(store: IndexStore, name: str, changes: DataFrame, batch_id: int | None = None) -> int | None:
     """Apply changes (op 'put' or 'remove', label, data, seq, payload) to a stored index; its new version.
 
-    Of several changes to a label in a batch the one with the greatest seq counts. A batch that was applied already (after a restart) does nothing.
+    Of several changes to a label in a batch the one with the greatest seq counts. A batch that was applied already (after a restart) does nothing: its number is committed with the version.
     """
-    mark = f"batch:{name}"
-    if batch_id is not None and (done := store.get_config(mark)) is not None and batch_id <= done:
-        return store.version(name)
-    index = store.load(name)
+    before, marks = store.version(name), store.marks(name)
+    if batch_id is not None and batch_id <= marks.get("batch", -1):
+        return before
+    index = store.load(name, before)
     if index is None:
         raise ValueError(f"no index named {name!r}")
     last = latest(changes, "label", "seq")
     out = index.remove(last.where("op = 'remove'").select("label"))
     puts = last.where("op = 'put'").drop("op", "seq")
     out = out.add(puts)
-    version = store.save(name, out, expected=store.version(name))
-    if batch_id is not None:
-        store.save_config(mark, batch_id)
-    return version
+    return store.save(name, out, expected=before, marks=marks if batch_id is None else marks | {"batch": batch_id})
 
 
 def follow(store: IndexStore, name: str, stream: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
