@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from nearfield.llm.forest import similar_vectors
 from nearfield.llm.leakage import find_leaks, without_leaks
 from nearfield.llm.packing import CAPACITY, container_fill, pack_documents
-from nearfield.llm.peaks import CELL_ROWS, SAMPLE_ROWS, density_peaks, describe_groups, large_groups
+from nearfield.llm.peaks import CELL_ROWS, SAMPLE_ROWS, density_peaks, describe_groups, large_groups, linked_groups
 from nearfield.llm.residue import find_residue
 from nearfield.llm.subset import represented, varied_subset
 from nearfield.operators.points import current_packed, current_usable
@@ -21,13 +21,17 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
     return current_usable(table(spark, d, "points"), DIM)
 
 
-def _groups(spark: SparkSession, d: str, singles: bool = False, packed: DataFrame | None = None, n: int | None = None) -> DataFrame:
-    """Density peaks over current usable points. Pivots come from a share of the labels, all versions of which are read, so they are current too."""
-    raw = table(spark, d, "points")
-    n = raw.count() if n is None else n
+def _pivot_points(raw: DataFrame, n: int) -> DataFrame:
+    """Points from which pivots are chosen: those of a share of the labels, all versions of which are read, so they are current too."""
     share = max(1, n // max(2 * SAMPLE_ROWS, 4 * n // CELL_ROWS))  # a few times as many points as are sampled
-    some = current_usable(raw.where(F.pmod(F.xxhash64("label"), F.lit(share)) == 0), DIM)
-    return density_peaks(current_packed(raw, DIM) if packed is None else packed, DIM, pivot_points=some, n=n, singles=singles)
+    return current_usable(raw.where(F.pmod(F.xxhash64("label"), F.lit(share)) == 0), DIM)
+
+
+def _groups(spark: SparkSession, d: str, singles: bool = False) -> DataFrame:
+    """Density peaks over current usable points."""
+    raw = table(spark, d, "points")
+    n = raw.count()
+    return density_peaks(current_packed(raw, DIM), DIM, pivot_points=_pivot_points(raw, n), n=n, singles=singles)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +69,7 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
 def _subset(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "points")
     packed, n = current_packed(raw, DIM), raw.count()
-    return varied_subset(packed, DIM, members=_groups(spark, d, packed=packed, n=n), n=n)
+    return varied_subset(packed, DIM, members=linked_groups(packed, DIM, pivot_points=_pivot_points(raw, n), n=n), n=n)
 
 
 def p5_subset(spark: SparkSession, d: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions import kernels
-from nearfield.llm.peaks import density_peaks
+from nearfield.llm.peaks import linked_groups
 from nearfield.session import materialize
 
 #: Members of the subset.
@@ -79,7 +79,7 @@ def varied_subset(points: DataFrame, dim: int, size: int = SIZE, width: float =
     points has id and data, all vectors usable (see points.current_usable), or v instead of data (see points.current_packed). Repeated ids are one point, rows with a null id take no part; copies of a taken vector come last, with
     gain 0, and only if nothing else is left. With size or fewer points all are returned; size <= 0 and an empty table give no rows. Extra
     columns don't matter. The same points give the same subset, however they are partitioned.
-    members may give id and group_id of all points (see peaks.density_peaks), or of those in groups of at least 2, if they are known or cheaper to find elsewhere, and n the number of points, about.
+    members may give id and group_id of all points, or of those in groups of at least 2 (see peaks.linked_groups), if they are known or cheaper to find elsewhere, and n the number of points, about.
     """
     spark, ready = points.sparkSession, "v" in points.columns
     schema = "id long, rank int, gain double"
@@ -113,7 +113,7 @@ def varied_subset(points: DataFrame, dim: int, size: int = SIZE, width: float =
         return df.groupBy(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("s"))
 
     src = points.where("id is not null").select(F.col("id").cast("long").alias("id"), F.col("v") if ready else F.col("data").cast("array<float>").alias("data"))
-    heavy = weights(density_peaks(points, dim, n=n, singles=False) if members is None else members)
+    heavy = weights(linked_groups(points, dim, n=n) if members is None else members)
     core = materialize(shard(src).cogroup(shard(heavy)).applyInArrow(core_set, _RAW), "core0")
     left, rounds = core.count(), 0
     while left > FAN_IN * size:
