@@ -27,7 +27,7 @@ CAPACITY = 2048
 SHARD_ITEMS = 8_000
 #: Shards whose leftovers meet in one shard of the next round.
 FAN_IN = 16
-#: Fillings tried per container, and nodes of the search tree per shard. When they are used up, the best complete solution stands.
+#: Fillings tried per container (None: all undominated ones), and nodes of the search tree per shard. When they are used up, the best complete solution stands.
 WIDTH, NODES = 4, 40_000
 
 
@@ -117,8 +117,9 @@ def _dominated(filling: tuple[int, ...], room: int, stock: _Stock) -> bool:
     return False
 
 
-def fillings(stock: _Stock, room: int, width: int) -> list[tuple[int, ...]]:
-    """Up to width undominated fillings of room, fullest first. A filling without waste ends the search: none is better."""
+def fillings(stock: _Stock, room: int, width: int | None) -> list[tuple[int, ...]]:
+    """Undominated fillings of room, fullest first: all with width None, else up to width of those met on the way along the width largest sizes that fit,
+    in at most 60 width steps. A filling without waste ends the search: none is better."""
     found: dict[tuple[int, ...], int] = {}
     steps = 0
 
@@ -130,7 +131,7 @@ def fillings(stock: _Stock, room: int, width: int) -> list[tuple[int, ...]]:
             return not left
         i = bisect.bisect_right(stock.sizes, s) - 1
         tries = 0
-        while i >= 0 and tries < width and steps < 60 * width:
+        while i >= 0 and (width is None or (tries < width and steps < 60 * width)):
             s = stock.sizes[i]
             if stock.count[s] > chosen.count(s):
                 steps, tries = steps + 1, tries + 1
@@ -145,11 +146,16 @@ def fillings(stock: _Stock, room: int, width: int) -> list[tuple[int, ...]]:
     ranked = sorted(found, key=lambda f: (found[f], len(f)))
     if found[ranked[0]] == 0:
         return ranked[:1]
-    return [f for f in ranked[: 3 * width] if not _dominated(f, room, stock)][:width] or ranked[:1]
+    some = ranked if width is None else ranked[: 3 * width]
+    return [f for f in some if not _dominated(f, room, stock)][:width] or ranked[:1]
 
 
-def bin_completion(sizes: np.ndarray, capacity: int, width: int = WIDTH, nodes: int = NODES) -> list[list[int]]:
-    """Containers as lists of positions in sizes (each between 1 and capacity), as few as the search finds, and proven least if it ends early."""
+def bin_completion(sizes: np.ndarray, capacity: int, width: int | None = WIDTH, nodes: int = NODES) -> list[list[int]]:
+    """Containers as lists of positions in sizes (each between 1 and capacity), as few as the search finds.
+
+    They are the least possible if they are as many as the total size needs, at which the search ends at once, or if width is None and the tree was
+    searched before nodes were used up. Otherwise fewer may do.
+    """
     best = best_fit_decreasing(sizes, capacity)
     least = -(-int(sizes.sum()) // capacity)
     if len(best) == least or not len(sizes):
@@ -196,7 +202,7 @@ def bin_completion(sizes: np.ndarray, capacity: int, width: int = WIDTH, nodes:
     return [[where[s].pop() for s in f] for f in solution]
 
 
-def _pack_group(rounds: int, last: bool, capacity: int):
+def _pack_group(rounds: int, last: bool, capacity: int, width: int | None, nodes: int):
     """Pack one shard. Before the last round the emptiest containers, with at most SHARD_ITEMS / FAN_IN items, stay open (-1)."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
@@ -205,7 +211,7 @@ def _pack_group(rounds: int, last: bool, capacity: int):
         container = np.full(len(sizes), -1, np.int64)
         base = (rounds << 52) | (int(key[0].as_py()) << 20)
         room = 0 if last else SHARD_ITEMS // FAN_IN
-        packed = sorted(bin_completion(sizes, capacity), key=lambda items: (int(sizes[items].sum()), items))
+        packed = sorted(bin_completion(sizes, capacity, width, nodes), key=lambda items: (int(sizes[items].sum()), items))
         for n, items in enumerate(packed):
             if len(items) <= room and int(sizes[items].sum()) < capacity:
                 room -= len(items)
@@ -217,13 +223,13 @@ def _pack_group(rounds: int, last: bool, capacity: int):
     return run
 
 
-def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
+def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, width: int | None = WIDTH, nodes: int = NODES) -> DataFrame:
     """doc_id, piece, first_token, tokens, container: a row per text, or per piece of a text longer than capacity.
 
     Pieces count from 0; all but the last have capacity tokens and a container of their own. Texts without tokens (null, empty) have one row with
     0 tokens and container null. Rows that repeat are packed as often as they stand, as pieces of one doc_id they keep apart only by
     container. A null doc_id is kept. Empty table: no rows. The same rows are packed in the same way, however they are partitioned; only the
-    numbers of containers with a full piece may differ.
+    numbers of containers with a full piece may differ. width and nodes bound the search (see bin_completion); container_fill shows how near the result is to the least possible.
     """
     counted = materialize(count_tokens(documents, tokenizer or default_tokenizer()), "tokens")
     full = F.floor(F.col("tokens") / capacity)
@@ -240,7 +246,7 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: st
     while True:
         last = shards == 1
         tagged = open_.withColumn("_s", F.pmod(F.xxhash64(F.lit(rounds), "doc_id", "piece"), F.lit(shards)).cast("long"))
-        packed = tagged.groupBy("_s").applyInArrow(_pack_group(rounds, last, capacity), "doc_id long, piece long, tokens long, container long")
+        packed = tagged.groupBy("_s").applyInArrow(_pack_group(rounds, last, capacity, width, nodes), "doc_id long, piece long, tokens long, container long")
         if last:
             done.append(packed)
             break

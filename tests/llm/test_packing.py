@@ -112,3 +112,26 @@ def test_queries(spark):
 def test_tokens_round_trip(text):
     e = P.encoder(P.default_tokenizer())
     assert e.decode(e.encode_ordinary(text)) == text
+
+
+def least_containers(sizes, capacity):
+    """By trying every item in every container."""
+
+    def fits(rest, rooms):
+        if not rest:
+            return True
+        return any(rest[0] <= r and fits(rest[1:], rooms[:i] + [r - rest[0]] + rooms[i + 1 :]) for i, r in enumerate(rooms) if r not in rooms[:i])
+
+    n = 0
+    while not fits(sorted(sizes, reverse=True), [capacity] * n):
+        n += 1
+    return n
+
+
+def test_complete_search_gives_the_least_number():
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        sizes = rng.integers(1, 30, rng.integers(1, 10))
+        bins = P.bin_completion(sizes, 40, width=None, nodes=10**6)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sizes[b].sum() <= 40 for b in bins)
+        assert len(bins) == least_containers(sizes.tolist(), 40)
