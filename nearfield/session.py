@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -12,11 +14,17 @@ _written: dict[str, SparkSession] = {}
 
 
 def work_root(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir. A temporary one only in local mode, where that is unset; on a cluster it has to be set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = jdir.get() if jdir.isDefined() else tempfile.mkdtemp(prefix="nearfield-")
+        if jdir.isDefined():
+            root = jdir.get()
+        elif re.fullmatch(r"local(\[[\d*,]+\])?", spark.sparkContext.master):
+            root = tempfile.mkdtemp(prefix="nearfield-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 

@@ -17,6 +17,11 @@ def test_query_without_sql_runs(spark, name):
     assert ALL[name](spark, DATA).count() > 0
 
 
+def test_recall_of_graph_search(spark):
+    got = vector_queries.ann_recall(spark, DATA).first()
+    assert got["recall"] >= 0.9 and got["n"] == 250
+
+
 def test_entry_module(spark):
     import __spark_entry__ as e
 
