@@ -212,3 +212,9 @@ def test_residue_of_other_systems(text):
 ])
 def test_mentions_are_no_residue(text):
     assert not R.judge(text, 0)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["is", "a", "in", "the", "of", ".", ",", " ", "  ", "km", "(", ")", "–", "é", "\n", "\u00a0", "\u0130n", "\u0131n", "I\u017f", "had inhabitants", "By", ";", "\x1c", "\x0b"]), max_size=12).map("".join))
+def test_gaps_are_never_passed_over(text):
+    assert len(R.GAP.findall(text)) < 2 or R.may_have_gaps([text]) == [True]
