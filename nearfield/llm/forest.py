@@ -26,7 +26,7 @@ BITS = 64
 #: Trees of a forest, and candidates per query and shard with which the descent is content.
 TREES, FIRST = 24, 64
 #: Probability with which a neighbour is to be among the candidates.
-RECALL = 0.998
+RECALL = 0.9999
 #: Share of a shard from which on a query reads all of it: gathering so many single rows would take longer.
 ROOT_SHARE = 1 / 16
 #: Rows of a shard: bounds the memory of a task. A task with more rows builds several forests.
@@ -119,10 +119,20 @@ def _best(pair_q: np.ndarray, pair_x: np.ndarray, rough: np.ndarray, qid, q, ids
     return qid[pair_q[top]], ids[pair_x[top]], exact[top]
 
 
+def _copies_before(x: np.ndarray) -> np.ndarray:
+    """How many equal rows come before each row."""
+    same = np.unique(np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel(), return_inverse=True)[1] if len(x) else np.zeros(0, np.int64)
+    order = np.argsort(same, kind="stable")
+    out = np.empty(len(x), np.int64)
+    out[order] = np.arange(len(x)) - np.searchsorted(same[order], same[order])
+    return out
+
+
 def search_shard(ids, x, qid, q, bound, k: int, trees: int, recall: float, seed: int, drop_self: bool, opened: list | None = None):
     """(query id, id, distance) of the best k candidates of each query in one shard. x and q in double precision; bound is None for the descent,
     else the distance of the k-th neighbour known, NaN if there are fewer. opened gets the number of candidates of each query."""
     order = np.argsort(ids, kind="stable")
+    order = order[_copies_before(x[order]) <= k]  # of equal vectors only the k + 1 least ids can be among the best k of any query
     ids, x = ids[order], x[order]
     u, v = kernels.unit(x).astype(np.float32), kernels.unit(q).astype(np.float32)
     forest = Forest(u, trees, seed)

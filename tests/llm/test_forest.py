@@ -114,3 +114,8 @@ def test_prefix_needed_for_a_distance():
 def test_null_ids_take_no_part(spark):
     p = spark.createDataFrame([(None, [1.0, 0.0], None), (1, [1.0, 0.0], None), (2, [0.0, 1.0], None)], "id long, data array<float>, distance string")
     assert {(r["query_id"], r["id"]) for r in Fo.similar_vectors(p, p, 5, 2).collect()} == {(1, 2), (2, 1)}
+
+
+def test_copies_before_a_row():
+    assert Fo._copies_before(np.array([[1.0, 0.0], [2.0, 0.0], [1.0, -0.0], [1.0, 0.0]])).tolist() == [0, 0, 1, 2]
+    assert Fo._copies_before(np.zeros((0, 3))).tolist() == []
