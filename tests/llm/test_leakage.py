@@ -103,7 +103,7 @@ SAID = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima
         ("{{Infobox place|name=X|note=" + SAID + "}} one two", 3),
         ("one [[File:a.jpg|thumb|" + SAID + "]]", 2),
         ("one {{unknown|{{Quote|" + SAID + "}}}}", 1),
-        ("{| class=x\n|-\n| " + SAID + "\n|}", 1),
+        ("{|\n|-\n| one || " + SAID + "\n|}", 1),
         ("one <gallery>\nFile:a.jpg|" + SAID + "\n</gallery>", 4),
         ("one <div style='x'>" + SAID.replace(" golf", "<ref name=a>zulu</ref> golf<!-- yankee -->").replace("kilo", "ki&shy;lo") + "</div>", 1),
     ],
