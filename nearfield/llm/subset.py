@@ -26,7 +26,7 @@ WIDTH = 0.35
 #: Rows of a shard, and core-sets merged in one task: bound the memory of a task.
 SHARD_ROWS, FAN_IN = 16_000, 32
 #: A row's weight is 1 + EMPHASIS * ln(rows of its group, over all points; see peaks.density_peaks).
-EMPHASIS = 0.2
+EMPHASIS = 0.05
 _RAW = "id long, data array<float>, weight double"
 
 
